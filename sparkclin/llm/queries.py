@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclin.llm import bpe_codec, quality_cascade, secret_scan, shard_table, token_count
-from sparkclin.llm.common import table
+from sparkclin.llm import bpe_codec, quality_cascade, quality_fm, secret_scan, shard_table, super_minhash, token_count, warc_archive
+from sparkclin.llm.common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -55,18 +56,36 @@ def op5_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "slot", "shard")
 
 
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc_archive.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc_archive.read_pages(spark, folder, with_payload=False)
+
+
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_fm.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_cascade.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_minhash.group(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": op2_secret_scan,
         "op3_token_count": op3_token_count,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_shard_table": op5_shard_table,
+        "op6_warc_segments": op6_warc_segments,
+        "op7_quality_fm": op7_quality_fm,
         "op8_quality_cascade": op8_quality_cascade,
+        "op9_super_minhash": op9_super_minhash,
     }
 
 
@@ -100,5 +119,14 @@ FROM b
 """
 
 
+_OP6_SQL = """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to, TRUE AS complete
+FROM p LEFT JOIN k USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shard_table": _op5_sql(), "op8_quality_cascade": _OP8_SQL}
+    return {"op6_warc_segments": _OP6_SQL, "op5_shard_table": _op5_sql(), "op8_quality_cascade": _OP8_SQL}
