@@ -61,3 +61,8 @@ def fresh_key(name: str) -> Column:
     a key is hot; the exchange of an aggregate just below could not be split.
     """
     return F.concat(F.col(name), F.lit(""))
+
+
+def fresh_key_long(name: str) -> Column:
+    """``fresh_key`` for a key of type long."""
+    return F.col(name).bitwiseXOR(F.lit(0).cast("bigint"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclin.llm import bpe_codec, quality_cascade, quality_fm, secret_scan, shard_table, super_minhash, token_count, warc_archive
+from sparkclin.llm import bpe_codec, decontaminate, quality_cascade, quality_fm, secret_scan, shard_table, super_minhash, token_count, warc_archive
 from sparkclin.llm.common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -31,6 +31,11 @@ def pre_token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it; documents without a leak have none."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -78,6 +83,7 @@ def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_latent_leaks": op1_latent_leaks,
         "op2_secret_scan": op2_secret_scan,
         "op3_token_count": op3_token_count,
         "op4_bpe_round_trip": op4_bpe_round_trip,

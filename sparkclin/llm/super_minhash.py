@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclin.llm.common import drop_written, fresh_key, written
+from sparkclin.llm.common import drop_written, fresh_key, fresh_key_long, written
 
 #: With 6 rows a band and 56 bands, a pair of similarity 0.8 shares no band once in 25 million.
 ROWS, BANDS = 6, 56
@@ -153,10 +153,6 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def fresh_key_long(name: str) -> Column:
-    return F.col(name).bitwiseXOR(F.lit(0).cast("bigint"))
-
-
 def union_find(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b), root the least id that is reachable.
 
