@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkclin.llm.common import arrow_map
+
 
 class PerfectHash:
     """A minimal perfect hash (hash and displace): n keys to 0..n-1, with one displacement for each bucket."""
@@ -199,4 +201,4 @@ def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], adds: str, path:
                 columns = [pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *columns], [*keep, *(n for n, _ in new)])
 
-    return df.select(*keep, F.col(column).alias("__in")).mapInArrow(run, fields)
+    return arrow_map(df.select(*keep, F.col(column).alias("__in")), run, fields)

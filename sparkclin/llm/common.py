@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkclin.session import ship_package
+
 #: White space of the word rules: blank and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors' path."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkclin.llm.common import arrow_map
+
 WORD_PLACES = 1 << 14
 BINS = 12
 #: Upper bounds of the bins of each statistic, in its own unit.
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, text: str = "t
 
     # the picked ids are twice ``sample`` at most, so their side is broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")), "doc_id")
-    got = rows.mapInArrow(featurize, "doc_id bigint, quality int, ids binary, x binary").toPandas().sort_values(["doc_id", "ids"], kind="stable") if sizes else None
+    got = arrow_map(rows, featurize, "doc_id bigint, quality int, ids binary, x binary").toPandas().sort_values(["doc_id", "ids"], kind="stable") if sizes else None
     model = FactorisationMachine()
     if got is None or not len(got):
         return model.fit([], np.zeros(0), np.zeros(0))
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return arrow_map(docs, run, f"{fields}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = 3000, text: str = "text") -> DataFrame:

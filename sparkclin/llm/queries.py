@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclin.llm import bpe_codec, decontaminate, quality_cascade, quality_fm, secret_scan, shard_table, super_minhash, token_count, warc_archive
+from sparkclin.llm import bpe_codec, decontaminate, quality_cascade, quality_fm, secret_scan, shard_table, suffix_dedup, super_minhash, token_count, warc_archive
 from sparkclin.llm.common import shared_dir, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -81,6 +81,11 @@ def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_minhash.group(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_latent_leaks": op1_latent_leaks,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_fm": op7_quality_fm,
         "op8_quality_cascade": op8_quality_cascade,
         "op9_super_minhash": op9_super_minhash,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkclin.llm.common import arrow_map
+
 MARK = "▁"
 NO_PAIR = np.iinfo(np.int64).max
 
@@ -201,4 +203,4 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_bytes", "n_tokens", "over_limit"])
 
     source = df.select(*keep, F.col(text).alias("__text"))
-    return source.mapInArrow(run, f"{fields}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return arrow_map(source, run, f"{fields}, n_bytes bigint, n_tokens bigint, over_limit boolean")

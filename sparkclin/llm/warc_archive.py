@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclin.llm.common import fresh_key
+from sparkclin.llm.common import arrow_map, fresh_key
 
 END = "\r\n"
 CHUNK, SEGMENT = 8_192, 65_536  # code points
@@ -173,7 +173,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "origin string, segment int, total bigint, record_type string, refers_to string, digest string, block binary")
+    return arrow_map(files, run, "origin string, segment int, total bigint, record_type string, refers_to string, digest string, block binary")
 
 
 def reassemble(found: DataFrame) -> DataFrame:
@@ -244,4 +244,4 @@ def read_pages(spark: SparkSession, path: str, with_payload: bool = True) -> Dat
             for at in range(0, batch.num_rows, 256):
                 yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(at, 256).to_pylist()], schema)
 
-    return reassemble(read_records(spark, path)).mapInArrow(run, fields)
+    return arrow_map(reassemble(read_records(spark, path)), run, fields)
