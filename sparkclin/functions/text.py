@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def normalize_text(value: str | None) -> str | None:
@@ -17,7 +18,7 @@ def normalize_text(value: str | None) -> str | None:
     return "".join(c for c in flat.lower() if c.isalnum() and not unicodedata.combining(c))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _normalize(values):
     return values.map(normalize_text)
 

@@ -143,14 +143,19 @@ def extract(df: DataFrame, param: SearchParam, resource: str = "resource") -> Co
 def _composite(v: Typed, param: SearchParam) -> Column:
     """Tuples of the components' values within each group, capped."""
 
+    def values(x: Column, expression: str, kind: str) -> Column:
+        c = compile_expression(expression, x, v.type)
+        return _each(c, lambda y: EXTRACTORS[kind](y, c.type))
+
+    def product(out: Column, more: Column, k: int) -> Column:
+        one = lambda a: F.transform(more, lambda b: F.struct(*[a.getField(f"c{j}").alias(f"c{j}") for j in range(k)], b.alias(f"c{k}")))
+        return F.flatten(F.transform(out, one))
+
     def tuples(x: Column) -> Column:
-        parts = []
-        for _, expression, kind in param.components:
-            c = compile_expression(expression, x, v.type)
-            parts.append(_each(c, lambda y, c=c, kind=kind: EXTRACTORS[kind](y, c.type)))
+        parts = [values(x, expression, kind) for _, expression, kind in param.components]
         out = F.transform(parts[0], lambda a: F.struct(a.alias("c0")))
         for k, more in enumerate(parts[1:], 1):
-            out = F.flatten(F.transform(out, lambda a, k=k, more=more: F.transform(more, lambda b: F.struct(*[a.getField(f"c{j}").alias(f"c{j}") for j in range(k)], b.alias(f"c{k}")))))
+            out = product(out, more, k)
         return out
 
     return F.slice(F.flatten(F.transform(v.array().column, tuples)), 1, COMPOSITE_CAP)
@@ -170,7 +175,11 @@ def shred(resources: DataFrame, params: list[SearchParam]) -> DataFrame:
     if len(kinds) != 1:
         raise ValueError("parameters of one kind are shredded together")
     kind = kinds.pop()
-    rows = [F.transform(extract(resources, p), lambda v, p=p: F.struct(F.lit(p.code).alias("parameter_name"), v.alias("v"))) for p in params]
+
+    def named(p: SearchParam) -> Column:
+        return F.transform(extract(resources, p), lambda v: F.struct(F.lit(p.code).alias("parameter_name"), v.alias("v")))
+
+    rows = [named(p) for p in params]
     both = F.array_distinct(rows[0] if len(rows) == 1 else F.concat(*rows))
     flat = resources.select(*KEYS, F.explode(both).alias("row")).select(*KEYS, "row.parameter_name", F.col("row.v").alias("v"))
     return flat.filter(F.col("v").isNotNull()).select(*KEYS, "parameter_name", *_values(kind))
