@@ -21,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkclin.llm.common import arrow_map, fresh_key, written
+from sparkclin.llm.common import arrow_map, fresh_key_long, written
 
-GRAM, BLOCK = 40, 16
+GRAM, BLOCK = 40, 32
+#: Bytes whose contexts are found at a time; longer texts are taken in pieces that overlap by a window.
+PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -230,8 +233,8 @@ def repeated_windows(parts: list[bytes], offsets: list[int], weights: list[int],
     rank = np.arange(len(owner)) - np.repeat(np.cumsum(total) - total, total)
     real = rank < count[owner]
     at = begin[owner] + head[owner] + rank * block
-    rows = data[at[real][:, None] + np.arange(block)]
-    _, symbol = np.unique(np.ascontiguousarray(rows).view(f"V{block}").ravel(), return_inverse=True)
+    rows = sliding_window_view(data, block)[at[real]]
+    _, symbol = np.unique(rows.view(f"V{block}").ravel(), return_inverse=True)
     symbols = np.zeros(len(owner) + whole, np.int64)
     symbols[: len(owner)][real] = symbol + 1
     order = np.array(suffix_array(symbols[: len(owner)].tolist()), np.int64)
@@ -247,45 +250,79 @@ def repeated_windows(parts: list[bytes], offsets: list[int], weights: list[int],
     heavy = np.bincount(run, w[owner[order]])[run] >= 2
     order, run = order[heavy], run[heavy]
     found = []
-    hashes = Hashes(data)
+    hashes, middle = Hashes(data), whole * block
+    alone = np.bincount(run)[run] == 1  # one context of weight two or more: all its windows repeat
     for d in range(block):
         start = at[order] - d
         o = owner[order]
         ok = (start >= begin[o]) & (start + length <= begin[o] + sizes[o])
+        plain = ok & alone
+        found.append(np.stack([o[plain], start[plain] - begin[o[plain]]], 1))
+        ok &= ~alone
         s, o, r = start[ok], o[ok], run[ok]
         if not len(s):
             continue
-        key = _mixed(hashes.of(s, s + length)) ^ _mixed(r.astype(_U) + _U(1))
-        by = np.argsort(key, kind="stable")
+        # a run shares its whole blocks, so only the bytes before and behind them can differ
+        key = _mixed(hashes.of(s, s + d) * _U(3) + _mixed(hashes.of(s + d + middle, s + length))) ^ _mixed(r.astype(_U) + _U(1))
+        by = np.argsort(key)
         s, o, key = s[by], o[by], key[by]
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for lo in range(0, len(s), 20_000):  # equal hashes are held against the bytes
-            part = slice(lo, lo + 20_000)
-            a = data[s[part][:, None] + np.arange(length)]
-            b = data[s[first[group[part]]][:, None] + np.arange(length)]
-            if not (a == b).all():
+        new = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(new) - 1
+        first = s[np.flatnonzero(new)[group]]
+        for lo, size in ((0, d), (d + middle, length - d - middle)):  # equal hashes are held against the bytes
+            view = sliding_window_view(data, max(1, size))
+            if size and not all((view[s[k : k + 50_000] + lo] == view[first[k : k + 50_000] + lo]).all() for k in range(0, len(s), 50_000)):
                 raise ValueError("two windows share a hash; choose another base")
         twice = np.bincount(group, w[o])[group] >= 2
         found.append(np.stack([o[twice], s[twice] - begin[o[twice]]], 1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _context_rows(distinct: DataFrame, length: int, gram: int) -> DataFrame:
+def _pieces(texts: list[bytes], length: int, size: int = PIECE) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """Texts in lots of about ``size`` bytes: their places in the list, bytes, and where these begin in the text.
+
+    A window begins in one piece only, so a context at a cut falls into two, which changes no window.
+    """
+    which, parts, offsets, held = [], [], [], 0
+    for k, t in enumerate(texts):
+        if len(t) < length:
+            continue
+        for at in range(0, len(t) - length + 1, size):
+            part = t[at : at + size + length - 1]
+            which.append(k), parts.append(part), offsets.append(at)
+            held += len(part)
+            if held >= size:
+                yield which, parts, offsets
+                which, parts, offsets, held = [], [], [], 0
+    if parts:
+        yield which, parts, offsets
+
+
+def _context_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """key, anchor, context, a (first window) and shape (last window and anchor, from a) of every context.
+
+    Of equal texts in one task the first two are enough, as a third can make nothing repeat that does not already.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                raw = [t.encode() for t in batch.column("text").to_pylist()]
-                t, anchor, context, a, b, p = contexts(raw, length, gram)
-                columns = [pa.array(t, pa.int32()), pa.array(anchor, pa.int64()), pa.array(context, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(p, pa.int32())]
-                keys = batch.column("key").take(columns[0])
-                weights = batch.column("weight").take(columns[0])
-                for lo in range(0, max(1, len(t)), 50_000):
-                    part = [c.slice(lo, 50_000) for c in (keys, weights, *columns[1:])]
-                    yield pa.RecordBatch.from_arrays(part, ["key", "weight", "anchor", "context", "a", "b", "p"])
-
-    return arrow_map(distinct.select("key", "weight", "text"), run, "key string, weight bigint, anchor bigint, context bigint, a int, b int, p int")
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                raw = []
+                for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                    times = seen[k] = seen.get(k, 0) + 1
+                    raw.append(t.encode() if times <= 2 else b"")
+                if len(seen) > 300_000:
+                    seen.clear()
+                for which, parts, offsets in _pieces(raw, length):
+                    t, anchor, context, a, b, p = contexts(parts, length, gram)
+                    keys = batch.column("key").take(pa.array(np.array(which, np.int64)[t]))
+                    shape = (b - a) << 16 | (p - a)
+                    columns = [keys, pa.array(anchor), pa.array(context), pa.array((a + np.array(offsets, np.int64)[t]).astype(np.int32)), pa.array(shape.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "context", "a", "shape"])
+
+    return arrow_map(rows.select("key", "text"), run, "key binary, anchor bigint, context bigint, a int, shape int")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", symbols: int = 200_000) -> DataFrame:
@@ -297,21 +334,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
     empty table gives an empty one; other columns are left out. Contexts of one anchor that differ meet in one task.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.md5(F.col("text").cast("binary")))
-    large = rows.filter(F.octet_length("text") >= length)
-    weights = large.groupBy("key").agg(F.min("doc_id").alias("first"), F.least(F.count(F.lit(1)), F.lit(2)).cast("bigint").alias("weight"))
-    copies = written(weights.filter("weight > 1"))
-    # one of each group of copies, in the order of ids; repeated ids can leave two, which are then weighed twice: once is enough
-    mark = copies.select(fresh_key("key").alias("key"), "first", "weight")
-    distinct = large.join(mark, "key", "left").filter("first IS NULL OR first = doc_id").select("key", F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"), "text")
-    found = _context_rows(distinct, length, gram)
-    dealt = found.repartition("anchor")
-    often = dealt.groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor")
-    candidates = written(dealt.join(often, "anchor").select("anchor", "context", "key", "weight", "a", "b", "p"))
-    groups = candidates.groupBy("anchor", "context").agg(F.sum("weight").alias("weight"), F.min(F.struct("key", "a", "b", "p")).alias("r"))
-    groups = groups.select("anchor", "context", "weight", F.col("r.key").alias("key"), F.col("r.a").alias("a"), F.col("r.b").alias("b"), F.col("r.p").alias("p"))
-    wanted = groups.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "weight", "a", "b", "p")).alias("parts"))
-    texts = large.select("key", "text").join(wanted.select(F.col("key"), "parts"), "key").dropDuplicates(["key"])
+    rows = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = _context_rows(rows.filter(F.octet_length("text") >= length), length, gram)
+    often = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("n > 1").drop("n")
+    candidates = written(often)
+    groups = candidates.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
+    wanted = groups.select(F.col("r.key").alias("key"), F.struct("anchor", "context", "weight", F.col("r.a").alias("a"), F.col("r.shape").alias("shape")).alias("part"))
+    wanted = wanted.groupBy("key").agg(F.collect_list("part").alias("parts"))
+    # the same exchange of the texts by key serves here and for the result
+    dealt = rows.select("key", "doc_id", "text")
+    one = dealt.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("parts").alias("parts"), F.min("doc_id").alias("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -321,11 +353,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
                 for t, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
                     raw = t.encode()
                     for q in parts:
-                        for column, v in zip(out, (q["anchor"], q["context"], q["weight"], q["p"] - q["a"], raw[q["a"] : q["b"] + length])):
+                        a, last, offset = q["a"], q["shape"] >> 16, q["shape"] & 0xFFFF
+                        for column, v in zip(out, (q["anchor"], q["context"], min(q["weight"], 2), offset, raw[a : a + last + length])):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["anchor", "context", "weight", "offset", "bytes"])
 
-    pieces = arrow_map(texts.select("text", "parts"), cut, "anchor bigint, context bigint, weight bigint, offset int, bytes binary")
+    pieces = arrow_map(one.select("text", "parts", "doc_id"), cut, "anchor bigint, context bigint, weight bigint, offset int, bytes binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -351,9 +384,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
             yield done()
 
     sorted_pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "context")
-    repeats = written(arrow_map(sorted_pieces, search, "anchor bigint, context bigint, windows array<struct<lo:int,hi:int>>"))
-    back = candidates.join(repeats, ["anchor", "context"]).select("key", F.explode("windows").alias("w"), "a").select("key", (F.col("a") + F.col("w.lo")).alias("lo"), (F.col("a") + F.col("w.hi")).alias("hi"))
-    marks = back.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("windows"))
+    repeats = arrow_map(sorted_pieces, search, "anchor bigint, context bigint, windows array<struct<lo:int,hi:int>>")
+    again = repeats.select(fresh_key_long("anchor").alias("anchor"), "context", "windows")
+    back = candidates.join(again, ["anchor", "context"]).select("key", F.explode("windows").alias("w"), "a").select("key", (F.col("a") + F.col("w.lo")).alias("lo"), (F.col("a") + F.col("w.hi")).alias("hi"))
+    marks = back.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -371,7 +405,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    final = rows.join(marks.select(fresh_key("key").alias("key"), "windows"), "key", "left").select("doc_id", "text", "windows")
+    final = dealt.join(marks, "key", "left").select("doc_id", "text", "windows")
     return arrow_map(final, keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
