@@ -7,8 +7,10 @@ signature. The places are without replacement, so estimates vary less than those
 
 Texts with equal sets count once. Signatures are cut into bands; texts that share a band are candidates. Candidates
 are linked to one centre of their bucket first, and confirmed on their full sets; union-find groups the links.
-Only where a bucket then still holds more than one group, the members outside the centre's group are compared with
-the others, so no link that banding finds is lost, and a bucket of copies costs as many pairs as it has members.
+The centre is the bucket's most typical member. Where a bucket then still holds more than one group, the members outside
+the centre's group are compared with a few more centres, and only what is apart even then with all others, leaving out
+pairs that sizes or sketches rule out. So no link that banding finds is lost, and a bucket of copies costs about as many
+pairs as it has members.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclin.llm.common import drop_written, fresh_key, fresh_key_long, written
+from sparkclin.llm.common import arrow_map, drop_written, fresh_key, fresh_key_long, written
 
 #: With 6 rows a band and 56 bands, a pair of similarity 0.8 shares no band once in 25 million.
 ROWS, BANDS = 6, 56
-SKETCH = 256
+SKETCH, PARITY = 256, 1024
+#: Members of a bucket that are tried as centres before all pairs of different groups are.
+HUBS = 8
+SKETCHES = [f"s{k}" for k in range(SKETCH // 64)] + [f"o{k}" for k in range(PARITY // 64)]
 _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,7 +94,11 @@ def super_minhash(elements: np.ndarray, m: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key, bands (array of long) and s0..s3 (a sketch of 256 bits) of each row."""
+    """doc_id, n_shingles, set_key, bands (array of long) and two sketches of each row.
+
+    s0..s3 hold a bit of each of 256 places of the signature. o0..o15 are an odd sketch: each element flips one of 1024
+    bits, so the bits in which two sketches differ are never more than the elements in which the sets differ.
+    """
     m = rows * bands
     turns = (np.arange(rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * _STEP
     bits = np.arange(64, dtype=np.uint64)
@@ -100,6 +109,7 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS,
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 counts, keys, banded, sketch = [], [], [], []
+                width = SKETCH // 64 + PARITY // 64
                 for t in batch.column("text"):
                     items = shingle(t.as_py())
                     key = xxhash.xxh3_128_hexdigest(items.tobytes()) if len(items) else None
@@ -109,25 +119,52 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS,
                         s = super_minhash(items, m)
                         b = _mixed((_mixed(s.reshape(bands, rows) * turns)).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _STEP)
                         one = (_mixed(s[:SKETCH]) & np.uint64(1)).reshape(SKETCH // 64, 64)
-                        known[key] = b.view(np.int64), (one << bits).sum(1, dtype=np.uint64).view(np.int64)
-                    b, w = known[key] if key is not None else (None, (None,) * 4)
+                        odd = (np.bincount((_mixed(items * _STEP) >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint64).reshape(PARITY // 64, 64)
+                        known[key] = b.view(np.int64), (np.concatenate([one, odd]) << bits).sum(1, dtype=np.uint64).view(np.int64)
+                    b, w = known[key] if key is not None else (None, (None,) * width)
                     counts.append(len(items)), keys.append(key), banded.append(b), sketch.append(w)
                 columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(banded, pa.list_(pa.int64()))]
-                columns += [pa.array([None if w[k] is None else int(w[k]) for w in sketch], pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"])
+                columns += [pa.array([None if w[k] is None else int(w[k]) for w in sketch], pa.int64()) for k in range(width)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", *SKETCHES])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return arrow_map(source, run, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCHES))
+
+
+def _differ(a: str, b: str, kind: str, n: int) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{kind}{k}").bitwiseXOR(F.col(f"{b}.{kind}{k}"))) for k in range(n)), F.lit(0))
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Sizes that allow the similarity, and sketches that do not rule it out (six standard deviations apart)."""
-    least, most = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
+    """Pairs that can reach the similarity: by their sizes, by their odd sketches (both are certain bounds), and by their
+    signature sketches, whose estimate may be six standard deviations off."""
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    sized = 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    odd = (100 + percent) * _differ(a, b, "o", PARITY // 64) <= (100 - percent) * (x + y)
     p = (1 - percent / 100) / 2
-    # sets smaller than the signature repeat elements in it; they are left to the verification
-    small = F.greatest(f"{a}.n_shingles", f"{b}.n_shingles") < 200
-    return (100 * least >= percent * most) & (small | (differ <= int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5) + 1))
+    # sets smaller than the signature repeat elements in it, so its places are not independent
+    likely = (F.greatest(x, y) < 1000) | (_differ(a, b, "s", SKETCH // 64) <= int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5) + 1)
+    return sized & odd & likely
+
+
+def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their root, of buckets that hold more than one group; nodes without a link are their own root."""
+    grouped = members.join(roots.select(fresh_key_long("id").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    spread = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    return grouped.join(spread.select(fresh_key_long("bucket").alias("bucket")), "bucket", "left_semi")
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """The members with ``main``, the root of their bucket's centre, and whether theirs is another."""
+    main = members.filter("id = centre").select(fresh_key_long("bucket").alias("bucket"), F.col("root").alias("main"))
+    return members.join(main, "bucket").withColumn("apart", F.col("root") != F.col("main"))
+
+
+def _across(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of one bucket and two groups that can reach the similarity."""
+    p, q = left.alias("p"), right.alias("q")
+    open_ = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.root") != F.col("q.root")) & _close("p", "q", percent)
+    return p.join(q, open_).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -150,7 +187,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
     joined = pairs.select("a", "b").join(right, "b").select(fresh_key_long("a").alias("a"), "b", "y").join(left, "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return arrow_map(joined.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
 def union_find(edges: DataFrame) -> DataFrame:
@@ -181,7 +218,7 @@ def union_find(edges: DataFrame) -> DataFrame:
             part = nodes[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(list(map(find, part)), pa.int64())], ["id", "root"])
 
-    forest = edges.select("a", "b").mapInArrow(local, "id bigint, root bigint")
+    forest = arrow_map(edges.select("a", "b"), local, "id bigint, root bigint")
     links = written(forest.filter("id != root").distinct())
     if links.isEmpty():
         drop_written(links)
@@ -217,35 +254,38 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, b
     # texts with equal sets: the least id stands for them
     sets = made.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     marked = made.join(sets.select(F.col("id").alias("doc_id"), fresh_key("set_key").alias("set_key")), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
-    reps = written(marked.select(F.col("doc_id").alias("id"), "n_shingles", "s0", "s1", "s2", "s3", "bands"))
+    reps = written(marked.select(F.col("doc_id").alias("id"), "n_shingles", *SKETCHES, "bands"))
     thin = reps.drop("bands")
     members = reps.select("id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(members.join(buckets.select(fresh_key_long("bucket").alias("bucket"), "centre"), "bucket"))
-    wanted = shared.select("id").distinct()
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(members.join(buckets.select(fresh_key_long("bucket").alias("bucket"), "n"), "bucket"))
+    # the most typical member of a bucket, its centre, is the one whose buckets are fullest
+    degree = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    centres = shared.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("m"))
+    centres = written(centres.select("bucket", (-F.col("m.minus")).alias("centre")))
+    wanted = degree.select("id")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts)
-    stars = shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(thin.select(F.col("id").alias("b"), F.struct(*thin.columns).alias("q")), "b").join(thin.select(F.col("id").alias("a"), F.struct(*thin.columns).alias("p")), "a")
-    links = written(verify(stars.filter(_close("p", "q", percent)), texts, size, percent))
+    stars = shared.join(centres, "bucket").filter("id != centre").select("id", "centre").distinct()
+    q = thin.select("id", F.struct(*thin.columns).alias("q"))
+    p = thin.select(F.col("id").alias("centre"), F.struct(*thin.columns).alias("p"))
+    stars = stars.join(q, "id").join(p, "centre").filter(_close("p", "q", percent)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    links = written(verify(stars, texts, size, percent))
     roots = written(union_find(links))
-    # what is left: buckets that hold more than one group
-    grouped = shared.join(roots, "id", "left").select("bucket", "centre", "id", F.coalesce("root", "id").alias("root"))
-    grouped = grouped.join(thin, "id")
-    spread = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    open_ = written(grouped.join(spread.select(fresh_key_long("bucket").alias("bucket")), "bucket", "left_semi"))
-    main = open_.filter("id = centre").select(fresh_key_long("bucket").alias("bucket"), F.col("root").alias("main"))
-    open_ = open_.join(main, "bucket").select("*", (F.col("root") != F.col("main")).alias("apart"))
-    left, right = open_.filter("apart").alias("p"), open_.filter("id != centre").alias("q")
-    across = (F.col("p.root") != F.col("q.root")) & (~F.col("q.apart") | (F.col("p.id") < F.col("q.id"))) & _close("p", "q", percent)
-    more = left.join(right, (F.col("p.bucket") == F.col("q.bucket")) & across).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    later = written(verify(more, texts, size, percent))
-    if later.isEmpty():
-        final = roots
-    else:
-        final = written(union_find(links.unionByName(later)))
-        drop_written(roots)
-    for done in (texts, shared, open_, links, later, reps):
+    # what is left: buckets that hold more than one group. Of large ones about HUBS members, the same in all buckets by a
+    # hash of their id, are tried next, as one link is enough to join a group
+    sized = shared.join(centres, "bucket").select("bucket", "id", "centre", "n")
+    rest = _open_buckets(sized, roots).withColumn("hub", F.pmod(F.xxhash64("id"), F.greatest(F.floor(F.col("n") / HUBS), F.lit(1))) == 0)
+    rest = written(_apart(rest).join(thin, "id"))
+    second = written(verify(_across(rest.filter("apart"), rest.filter("hub AND id != centre"), percent), texts, size, percent))
+    roots2 = written(union_find(links.unionByName(second)))
+    # then the members outside the centre's group against all others that are no hubs
+    last = written(_apart(_open_buckets(rest.drop("root", "main", "apart"), roots2)))
+    later = written(verify(_across(last.filter("apart"), last.filter("NOT hub AND id != centre"), percent), texts, size, percent))
+    final = roots2 if later.isEmpty() else written(union_find(links.unionByName(second).unionByName(later)))
+    for done in (roots, last, second, *([] if final is roots2 else [roots2])):
+        drop_written(done)
+    for done in (texts, shared, centres, rest, links, later, reps):
         drop_written(done)
     # every row takes the root of its set's representative
     named = sets.join(final.withColumnRenamed("id", "rep"), F.col("id") == F.col("rep"), "left").select(fresh_key("set_key").alias("set_key"), F.coalesce("root", "id").alias("component_id"))
