@@ -301,7 +301,7 @@ def _pieces(texts: list[bytes], length: int, size: int = PIECE) -> Iterator[tupl
 def _context_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """key, anchor, context, a (first window) and shape (last window and anchor, from a) of every context.
 
-    Of equal texts in one task the first two are enough, as a third can make nothing repeat that does not already.
+    A context that occurs in a text again, as in repetitive texts, gives one row with the other places in ``more``. Of equal texts in one task the first two are enough, as a third can make nothing repeat that does not already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +317,23 @@ def _context_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     seen.clear()
                 for which, parts, offsets in _pieces(raw, length):
                     t, anchor, context, a, b, p = contexts(parts, length, gram)
-                    keys = batch.column("key").take(pa.array(np.array(which, np.int64)[t]))
-                    shape = (b - a) << 16 | (p - a)
-                    columns = [keys, pa.array(anchor), pa.array(context), pa.array((a + np.array(offsets, np.int64)[t]).astype(np.int32)), pa.array(shape.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "context", "a", "shape"])
-
-    return arrow_map(rows.select("key", "text"), run, "key binary, anchor bigint, context bigint, a int, shape int")
+                    if not len(t):
+                        continue
+                    text, shape = np.array(which, np.int64)[t], (b - a) << 16 | (p - a)
+                    a = a + np.array(offsets, np.int64)[t]
+                    order = np.lexsort((a, context, anchor, text))
+                    text, anchor, context, a, shape = (x[order] for x in (text, anchor, context, a, shape))
+                    new = np.r_[True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]
+                    first = np.flatnonzero(new)
+                    size = np.diff(np.r_[first, len(a)])
+                    more: list = [None] * len(first)
+                    for k in np.flatnonzero(size > 1).tolist():
+                        more[k] = a[first[k] + 1 : first[k] + size[k]].tolist()
+                    keys = batch.column("key").take(pa.array(text[first]))
+                    columns = [keys, pa.array(anchor[first]), pa.array(context[first]), pa.array(a[first].astype(np.int32)), pa.array(shape[first].astype(np.int32)), pa.array(more, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "anchor", "context", "a", "shape", "more"])
+
+    return arrow_map(rows.select("key", "text"), run, "key binary, anchor bigint, context bigint, a int, shape int, more array<int>")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", symbols: int = 200_000) -> DataFrame:
@@ -336,9 +347,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     found = _context_rows(rows.filter(F.octet_length("text") >= length), length, gram)
-    often = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("n > 1").drop("n")
+    times = F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
+    often = found.withColumn("n", F.sum(times).over(Window.partitionBy("anchor"))).filter("n > 1").drop("n")
     candidates = written(often)
-    groups = candidates.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
+    groups = candidates.groupBy("anchor", "context").agg(F.sum(times).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
     wanted = groups.select(F.col("r.key").alias("key"), F.struct("anchor", "context", "weight", F.col("r.a").alias("a"), F.col("r.shape").alias("shape")).alias("part"))
     wanted = wanted.groupBy("key").agg(F.collect_list("part").alias("parts"))
     # the same exchange of the texts by key serves here and for the result
@@ -386,7 +398,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
     sorted_pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "context")
     repeats = arrow_map(sorted_pieces, search, "anchor bigint, context bigint, windows array<struct<lo:int,hi:int>>")
     again = repeats.select(fresh_key_long("anchor").alias("anchor"), "context", "windows")
-    back = candidates.join(again, ["anchor", "context"]).select("key", F.explode("windows").alias("w"), "a").select("key", (F.col("a") + F.col("w.lo")).alias("lo"), (F.col("a") + F.col("w.hi")).alias("hi"))
+    places = candidates.withColumn("a", F.explode(F.concat(F.array("a"), F.coalesce("more", F.array().cast("array<int>")))))
+    back = places.join(again, ["anchor", "context"]).select("key", F.explode("windows").alias("w"), "a").select("key", (F.col("a") + F.col("w.lo")).alias("lo"), (F.col("a") + F.col("w.hi")).alias("hi"))
     marks = back.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
