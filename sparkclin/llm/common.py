@@ -13,6 +13,7 @@ from sparkclin.session import ship_package
 #: White space of the word rules: blank and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
@@ -21,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors' path."""
-    ship_package(df.sparkSession)
+    """``df.mapInArrow`` with this package on the executors' path.
+
+    Where the session has Spark's default of 10,000 rows a batch, it is lowered to ``BATCH_ROWS``, as a batch of texts
+    is held in a worker several times over.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 
@@ -74,3 +82,12 @@ def fresh_key(name: str) -> Column:
 def fresh_key_long(name: str) -> Column:
     """``fresh_key`` for a key of type long."""
     return F.col(name).bitwiseXOR(F.lit(0).cast("bigint"))
+
+
+def settled(column: Column) -> Column:
+    """``column``, marked so that a filter above is not pushed below its projection.
+
+    Pushing it down would put the definitions of all columns it uses in its place, and then lambdas would evaluate
+    whole arrays anew for every element. The condition always holds; it only counts as not deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclin.llm.common import SPACE_CHARS, whole_text
+from sparkclin.llm.common import SPACE_CHARS, settled, whole_text
 
 SYMBOLS = "#*$%&|<>"
 
@@ -60,7 +60,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.translate(body, SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        F.col("__repeats").cast("bigint").alias("n_repeat_words"),
+        settled(F.col("__repeats").cast("bigint")).alias("n_repeat_words"),
     )
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclin.llm.common import whole_text
+from sparkclin.llm.common import settled, whole_text
 
 # The patterns whose findings are always kept; the last number is the length they need.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -124,7 +124,7 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("__more", F.concat(F.col("__hex"), apart(F.col("__s4"), F.concat("__base", "__hex"))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = F.transform(F.sort_array(F.concat("__base", "__more")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("name")))
-    return step.select(*names, named.alias("secrets"))
+    return step.select(*names, settled(named).alias("secrets"))
 
 
 def written_spans(spans: Column) -> Column:
