@@ -407,11 +407,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out = []
-                for t, windows in zip(batch.column("text").to_pylist(), batch.column("windows").to_pylist()):
-                    raw, pos, kept, spans, gone = t.encode(), 0, [], 0, 0
-                    for lo, hi in _united([(w["lo"], w["hi"] + length) for w in windows or ()]):
-                        kept.append(raw[pos:lo])
-                        pos, spans, gone = hi, spans + 1, gone + hi - lo
+                for t, windows in zip(batch.column("text"), batch.column("windows")):
+                    raw, pos, kept, spans, gone = (t.as_py() or "").encode(), 0, [], 0, 0
+                    if windows.is_valid:  # there may be very many; they stay Arrow arrays
+                        lo, hi = (windows.values.field(k).to_numpy() for k in ("lo", "hi"))
+                        for start, end in _united(lo.astype(np.int64), hi.astype(np.int64) + length):
+                            kept.append(raw[pos:start])
+                            pos, spans, gone = end, spans + 1, gone + end - start
                     kept.append(raw[pos:])
                     out.append((len(raw), gone, spans, b"".join(kept)))
                 columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
@@ -429,11 +431,9 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1])) for g in np.split(s, cut)]
 
 
-def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def _united(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans as maximal spans."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.r_[True, lo[1:] > reach[:-1]]
+    return list(zip(lo[new].tolist(), reach[np.r_[new[1:], True]].tolist()))
