@@ -54,7 +54,7 @@ def fp(name: str, kind: str, sql: str, **expressions: str) -> None:
 
 
 _CUST = "CAST(c_custkey AS VARCHAR) AS id"
-_OBS = "concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS id"
+_OBS = "concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y%m%d')) AS id"
 
 fp("fp_where_exists", "Observation", f"SELECT {_OBS}, l_extendedprice > 50000 AS pricey, CASE WHEN l_extendedprice > 50000 THEN l_extendedprice END AS price, l_discount > 0.05 OR l_tax > 0.05 AS extra FROM lineitem",
    pricey="component.where(code.coding.code = 'price').exists(valueQuantity.value > 50000)", price="component.where(code.coding.code = 'price' and valueQuantity.value > 50000).valueQuantity.value.first()",
@@ -309,7 +309,7 @@ def s_token_above(spark: SparkSession, sf: str) -> DataFrame:
     return _medications(spark, sf).matches("Medication?code:above=urn:type|ECONOMY").select("id")
 
 
-@query("s_compartment", "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id FROM lineitem WHERE l_orderkey = 5")
+@query("s_compartment", f"SELECT {_OBS} FROM lineitem WHERE l_orderkey = 5")
 def s_compartment(spark: SparkSession, sf: str) -> DataFrame:
     return Search(Store.from_tables(spark, sf, "Encounter", "Observation")).compartment("Encounter", "5", "Observation").select("id")
 

@@ -89,7 +89,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = read(spark, sf_dir, "lineitem")
     part = lambda code, c: F.struct(_concept(_coding("urn:component", F.lit(code))).alias("code"), F.struct(F.col(c).alias("value"), F.lit("1").alias("code")).alias("valueQuantity"))
     return _resource(
-        item, "Observation", F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey")),
+        item, "Observation", F.concat_ws("-", _s("l_orderkey"), _s("l_linenumber"), _s("l_partkey"), _s("l_suppkey"), F.date_format("l_shipdate", "yyyyMMdd")),
         F.col("l_linestatus").alias("status"), _concept(_coding("urn:returnflag", F.col("l_returnflag"))).alias("code"),
         _reference("Encounter/", "l_orderkey").alias("encounter"), _reference("Medication/", "l_partkey").alias("focus"),
         F.array(_reference("Organization/", "l_suppkey")).alias("performer"),
