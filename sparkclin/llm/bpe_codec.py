@@ -67,6 +67,21 @@ class PerfectHash:
         return i if self.slots[i] == key else -1
 
 
+class _Known(dict):
+    """Ids of pre-tokens; those not known yet are resolved on the way."""
+
+    def __init__(self, resolve):
+        self.resolve = resolve
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self[piece] = self.resolve(piece)
+        return ids
+
+
+#: The links of a short pre-token, to copy from.
+_AFTER, _BEFORE = list(range(1, 257)), list(range(-1, 255))
+
+
 class Codec:
     """Encodes texts by the ranks of a ``.tiktoken`` file and decodes ids, as that library would."""
 
@@ -80,7 +95,7 @@ class Codec:
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
         # \s there is Unicode's White_Space; regex's own \s also takes the separators 1C to 1F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.keep, self.known = keep, {}
+        self.keep, self.known = keep, _Known(self.piece)
         self.pairs: dict[int, int | None] = {}
         self.byte_id = [ids[bytes([b])] for b in range(256)]
 
@@ -97,7 +112,7 @@ class Codec:
         """Tier two: merges by a heap over linked bytes. Heap entries hold rank and place, 2^32 apart."""
         ids = [self.byte_id[b] for b in token]
         n, get, missing = len(ids), self.pairs.get, -1
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = (_AFTER[:n], _BEFORE[:n]) if n <= 256 else (list(range(1, n + 1)), list(range(-1, n - 1)))
         heap = []
         for i in range(n - 1):
             r = get(ids[i] << 32 | ids[i + 1], missing)
@@ -144,8 +159,6 @@ class Codec:
             known.clear()
         if len(self.pairs) > 4 * self.keep:
             self.pairs.clear()
-        for p in set(pieces).difference(known):
-            known[p] = self.piece(p)
         return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
