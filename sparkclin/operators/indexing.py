@@ -209,6 +209,13 @@ def identifier_types(resources: DataFrame, field: str = "identifier") -> DataFra
     return one.select(*KEYS, F.col("c.system").alias("type_system"), F.col("c.code").alias("type_code"), F.lower("c.code").alias("type_code_ci"), "value", F.lower("value").alias("value_ci"))
 
 
+def reference_identifiers(resources: DataFrame, param: SearchParam) -> DataFrame:
+    """Token rows of the identifiers that references of a parameter hold instead of, or besides, a target."""
+    v = compile_expression(f"({param.expression}).identifier", F.col("resource"), resources.schema["resource"].dataType)
+    rows = resources.select(*KEYS, F.explode(_each(v, lambda x: _token(x, v.type))).alias("v"))
+    return rows.select(*KEYS, F.lit(param.code).alias("parameter_name"), "v.*")
+
+
 def narrative_text(resources: DataFrame) -> DataFrame:
     """The _text index: a narrative without its markup."""
     return resources.filter("resource.text.div IS NOT NULL").select(*KEYS, F.lit("_text").alias("parameter_name"), tx.strip_html(F.col("resource.text.div")).alias("content"))

@@ -19,7 +19,7 @@ from sparkclin.functions import text as tx
 from sparkclin.functions.temporal import search_range
 from sparkclin.operators import hierarchy, indexing
 from sparkclin.plans.catalog import COMPARTMENTS, MANDATORY, MODIFIERS, SUMMARY, Catalog, SearchError, SearchParam
-from sparkclin.plans.request import DEFAULT_COUNT, Condition, Request, parse_filter, parse_request, parse_text_query, split_escaped, split_prefix
+from sparkclin.plans.request import DEFAULT_COUNT, Condition, Request, age_to_birthdate, parse_filter, parse_request, parse_text_query, split_escaped, split_prefix
 
 UCUM = "http://unitsofmeasure.org"
 MAX_PASSES = 3
@@ -186,8 +186,8 @@ class Store:
 class Search:
     """Evaluates requests over a store."""
 
-    def __init__(self, store: Store):
-        self.store = store
+    def __init__(self, store: Store, today: str | None = None):
+        self.store, self.today = store, today
 
     # ids that satisfy one condition, and whether they are to be taken out instead
     def ids(self, kind: str, c: Condition) -> tuple[DataFrame, bool]:
@@ -205,6 +205,8 @@ class Search:
             return self.text(kind, c), False
         if c.code in ("_in", "_list"):
             return self.member_ids(kind, c), False
+        if c.code == "age" and self.store.names(kind, "age") is None and self.store.names(kind, "birthdate"):
+            return self.age(kind, c), False
         param = self.store.param(kind, c.code)
         if c.modifier == "missing":
             return self.store.index(kind, c.code).select("id"), c.values[0] == "true"
@@ -219,7 +221,8 @@ class Search:
         if param.kind == "reference" and c.modifier in ("above", "below", "contains"):
             return self.reference_hierarchy(kind, param, c), False
         if param.kind == "reference" and c.modifier == "identifier":
-            raise SearchError("references with identifiers are not indexed here")
+            rows = indexing.reference_identifiers(self.store.resources(kind), param)
+            return rows.filter(_any([token_clause(v) for v in c.values])).select("id"), False
         rows = self.store.index(kind, c.code).filter(self.clause(param, c)).select("id")
         return rows, param.kind == "token" and c.modifier == "not"
 
@@ -258,6 +261,19 @@ class Search:
                 out = out & F.startswith(tx.normalize_native(F.col(f"c{k}")), F.lit(tx.normalize_text(part)))
         return out
 
+    def age(self, kind: str, c: Condition) -> DataFrame:
+        """An age is searched as a range of birth dates."""
+        from datetime import datetime, timezone
+
+        today = self.today or datetime.now(timezone.utc).date().isoformat()
+        found = []
+        for v in c.values:
+            rows = self.store.resources(kind).select("id")
+            for test in age_to_birthdate(v, today):
+                rows = self.apply(rows, kind, Condition("birthdate", None, (test,)))
+            found.append(rows)
+        return reduce(DataFrame.unionByName, found)
+
     def text(self, kind: str, c: Condition) -> DataFrame:
         resources = self.store.resources(kind)
         fields = resources.schema["resource"].dataType.fieldNames()

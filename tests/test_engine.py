@@ -195,3 +195,33 @@ def test_catalog():
 
     c.add(SearchParam("x", "Resource", "token", "id"))
     assert c.version() != v and c.find("Patient", "x") is not None
+
+
+def test_age_and_reference_identifier(spark):
+    from sparkclin.plans.catalog import SearchParam
+
+    df = spark.createDataFrame([("1", "1980-06-15"), ("2", "1980-06-16"), ("3", "1979-06-15"), ("4", "2000")], "id string, birthDate string")
+    who = F.struct(F.struct(F.lit("urn:o").alias("system"), F.concat(F.lit("O"), F.col("id")).alias("value")).alias("identifier"), F.lit(None).cast("string").alias("reference"))
+    df = df.select(F.lit("Patient").alias("resource_type"), "id", F.lit(1).cast("long").alias("version_id"), F.lit("2020-01-01").cast("timestamp").alias("last_updated"), F.struct(F.lit("Patient").alias("resourceType"), "id", "birthDate", who.alias("org")).alias("resource"))
+    c = Catalog.default()
+    c.add(SearchParam("birthdate", "Patient", "date", "birthDate"))
+    c.add(SearchParam("org", "Patient", "reference", "org", ("Organization",)))
+    s = Search(Store({"Patient": df}, c), today="2020-06-15")
+    ids = lambda url: {r.id for r in s.matches(url).collect()}
+    assert ids("Patient?age=40") == {"1"} and ids("Patient?age=ge40") == {"1", "3"} and ids("Patient?age=lt40") == {"2", "4"}
+    assert ids("Patient?org:identifier=urn:o|O2") == {"2"}
+
+
+def test_command_line_and_sql(spark, tmp_path, capsys):
+    from sparkclin.__main__ import main
+    from sparkclin.fhirpath.interpreter import evaluate_xml, register_sql
+
+    (tmp_path / "p.json").write_text('{"resourceType":"Patient","name":[{"family":"Doe"}]}')
+    main(["fp", "name.family", str(tmp_path / "p.json")])
+    main(["xml", str(tmp_path / "p.json")])
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "Doe" and evaluate_xml("Patient.name.family", out[1]) == ["Doe"]
+    main(["tree", "a.where(b)"])
+    assert "call 'where'" in capsys.readouterr().out
+    register_sql(spark)
+    assert spark.sql("""SELECT fhirpath('{"a":[1,2]}', 'a.first() + 1') AS v""").first().v == ["2"]
