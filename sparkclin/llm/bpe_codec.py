@@ -166,6 +166,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+_shifts: dict[str, list[int]] = {}
 
 
 def codec(path: str, pattern: str, shift: list[int] | None = None) -> Codec:
@@ -202,7 +203,9 @@ def _mapped(df: DataFrame, column: str, keep: tuple[str, ...], adds: str, path:
     fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), adds])
     kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
     new = [x.split() for x in adds.split(", ")]
-    shift = codec(path, pattern).hash.shift  # searched for once, on the driver; a quarter of the vocabulary's size
+    if path not in _shifts:  # searched for once, on the driver; a quarter of the vocabulary's size
+        _shifts[path] = Codec(path, pattern).hash.shift
+    shift = _shifts[path]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern, shift)

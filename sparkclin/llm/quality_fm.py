@@ -171,7 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, text: str = "t
     y = got["quality"].to_numpy().astype(np.float64)
     share = {k: sizes[k] / sum(sizes.values()) / max(1, (y == k).sum()) * len(y) for k in sizes}
     weights = np.array([share[int(k)] for k in y])
-    return model.fit([(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for i, x in zip(got["ids"], got["x"])], y, weights)
+    rows = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for i, x in zip(got["ids"], got["x"])]
+    del got
+    return model.fit(rows, y, weights)
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text") -> DataFrame:
