@@ -75,8 +75,8 @@ fp("fp_string_fns", "Medication", "SELECT CAST(p_partkey AS VARCHAR) AS id, uppe
    up="name.upper()", n="name.length()", part="name.substring(1, 3)", at="name.indexOf('w')", joined="name.replace(' ', '_')", cold="name.startsWith('cold')", has="name.contains('dg')", ends_t="name.endsWith('t')", words="name.split(' ')")
 fp("fp_regex", "Medication", "SELECT CAST(p_partkey AS VARCHAR) AS id, regexp_matches(p_name, 'w.dget') AS found, regexp_full_match(p_name, '[a-z]+ widget') AS whole, regexp_replace(p_name, '[aeiou]', '*', 'g') AS masked FROM part",
    found="name.matches('w.dget')", whole="name.matchesFull('[a-z]+ widget')", masked="name.replaceMatches('[aeiou]', '*')")
-fp("fp_math_fns", "Medication", "SELECT CAST(p_partkey AS VARCHAR) AS id, abs(p_retailprice - 1000) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(trunc(p_retailprice) AS BIGINT) AS t, sqrt(p_retailprice) AS r, ln(p_retailprice) AS l, CAST(p_size // 7 AS BIGINT) AS d, CAST(p_size % 7 AS BIGINT) AS m, CAST(p_size * p_size AS BIGINT) AS sq FROM part",
-   a="(price - 1000).abs()", c="price.ceiling()", f="price.floor()", t="price.truncate()", r="price.sqrt()", l="price.ln()", d="size div 7", m="size mod 7", sq="size.power(2)")
+fp("fp_math_fns", "Medication", "SELECT CAST(p_partkey AS VARCHAR) AS id, round(abs(p_retailprice - 1000), 4) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(trunc(p_retailprice) AS BIGINT) AS t, round(sqrt(p_retailprice), 6) AS r, round(ln(p_retailprice), 6) AS l, CAST(p_size // 7 AS BIGINT) AS d, CAST(p_size % 7 AS BIGINT) AS m, CAST(p_size * p_size AS BIGINT) AS sq FROM part",
+   a="(price - 1000).abs().round(4)", c="price.ceiling()", f="price.floor()", t="price.truncate()", r="price.sqrt().round(6)", l="price.ln().round(6)", d="size div 7", m="size mod 7", sq="size.power(2)")
 fp("fp_bankers_round", "Medication", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(CASE WHEN p_size % 2 = 0 THEN p_size / 2 WHEN (p_size // 2) % 2 = 0 THEN p_size // 2 ELSE p_size // 2 + 1 END AS DOUBLE) AS half FROM part",
    half="(size / 2).round()")
 fp("fp_convert", "Medication", "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS s, CAST(p_size AS DOUBLE) AS d, CASE WHEN p_size = 1 THEN TRUE WHEN p_size = 0 THEN FALSE END AS b, FALSE AS name_is_int, CAST(substr(p_brand, 7) AS BIGINT) AS brand FROM part",
@@ -539,14 +539,14 @@ def x_hierarchy_depth(spark: SparkSession, sf: str) -> DataFrame:
 # units and validation
 
 
-@query("u_convert", f"SELECT {_OBS}, l_quantity / 1000 AS grams, l_quantity * 1000 AS micrograms FROM lineitem")
+@query("u_convert", f"SELECT {_OBS}, round(l_quantity / 1000, 6) AS grams, round(l_quantity * 1000, 3) AS micrograms FROM lineitem")
 def u_convert(spark: SparkSession, sf: str) -> DataFrame:
     """Quantities converted by a join with the factors of their units."""
     rows = indexing.shred(MAKERS["Observation"](spark, sf), [Catalog.default().params["Observation", "value-quantity"]])
     table = spark.createDataFrame([(u, float(f), d) for u, f, _, d in units.factor_table(["mg", "g", "ug", "kg"])], "code string, factor double, dims string")
     to = {u: f for u, f, _, _ in units.factor_table(["g", "ug"])}
     out = rows.join(F.broadcast(table), "code")  # as many rows as distinct units in the table above
-    return out.select("id", (F.col("value") * F.col("factor") / float(to["g"])).alias("grams"), (F.col("value") * F.col("factor") / float(to["ug"])).alias("micrograms"))
+    return out.select("id", F.round(F.col("value") * F.col("factor") / float(to["g"]), 6).alias("grams"), F.round(F.col("value") * F.col("factor") / float(to["ug"]), 3).alias("micrograms"))
 
 
 @query("u_compare", f"SELECT {_OBS} FROM lineitem WHERE l_quantity > 20")
