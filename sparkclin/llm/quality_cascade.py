@@ -98,16 +98,14 @@ def order_rules(measured: DataFrame, rules: list[Rule], text: str = "text", samp
 
     A rule that rejects nothing in the sample goes by its cost, behind those that do.
     """
-    sample = measured.limit(sample_rows)
-    seen = sample.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.length(whole_text(text))).alias("chars"),
-        F.avg("n_words").alias("words"),
-        *[F.count_if(r.fails).alias(f"r{i}") for i, r in enumerate(rules)],
-    ).first()
-    n, chars, words = max(1, seen["n"]), seen["chars"] or 0.0, seen["words"] or 0.0
+    # a few numbers of each sampled row; a limit that is collected reads only as many parts as it needs, without a shuffle
+    flags = [F.coalesce(r.fails, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
+    rows = measured.select(F.length(whole_text(text)).alias("chars"), F.col("n_words").alias("words"), *flags).limit(sample_rows).collect()
+    n = max(1, len(rows))
+    chars, words = sum(r["chars"] for r in rows) / n, sum(r["words"] for r in rows) / n
+    rejected = [sum(r[f"r{i}"] for r in rows) for i in range(len(rules))]
     cost = [1 + r.per_char * chars + r.per_word * words for r in rules]
-    order = sorted(range(len(rules)), key=lambda i: (-(seen[f"r{i}"] / n) / cost[i], cost[i]))
+    order = sorted(range(len(rules)), key=lambda i: (-(rejected[i] / n) / cost[i], cost[i]))
     return [rules[i] for i in order]
 
 
