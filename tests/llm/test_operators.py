@@ -401,6 +401,38 @@ def test_leaks(spark, corpus, odd, empty):
     assert want <= {(r.doc_id, r.item_id) for r in many.collect()}
 
 
+@pytest.mark.parametrize("scale", [1, 10_000])
+def test_leaks_of_any_share_of_the_passage(spark, monkeypatch, scale):
+    # as in a corpus ``scale`` times as large; hosts are of words that no item has, items shorter and longer than a passage
+    counted = decontaminate.document_frequencies
+    monkeypatch.setattr(decontaminate, "document_frequencies", lambda *a: tuple(x * scale for x in counted(*a)))
+    rng, rows, want = random.Random(5), [], set()
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for k, n in enumerate([6, 8, 15, 15, 30, 59, 600])]
+    for k, t in items:
+        words = t.split()
+        for j in range(4):
+            part = [w for w in words if j % 2 == 0 or rng.random() > 0.15]
+            host = [f"host{rng.randrange(5000)}" for _ in range(rng.randrange(20, 200))]
+            at = rng.randrange(len(host))
+            rows.append((100 * k + j, " ".join([*host[:at], *part, *host[at:]])))
+            if j % 2 == 0 or len(words) > 10:
+                want.add((100 * k + j, k))
+    rows += [(10_000 + k, " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert want <= got and not {d for d, _ in got if d >= 10_000}
+
+
+def test_search_equals_brute_force(spark, corpus):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    index = next(decontaminate.build_indexes(corpus, bench))
+    search, block = decontaminate.Searcher(index, decontaminate.Rule()), index.blocks[0]
+    for r in corpus.collect():
+        words = decontaminate._lookup(decontaminate.words_of(r.text), index.place, len(index.place)).tolist()
+        want = {block.item_ids[k]: f for k in range(len(block.items)) if (f := search.check(block, words, 0, len(words), k))}
+        assert {f["item_id"]: (f["lcs"], f["answer"]) for f in search(r.text)} == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_lcs(a, b):
