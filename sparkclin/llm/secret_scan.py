@@ -1,6 +1,7 @@
 """Secret scans: three fixed patterns, and runs of characters of high entropy.
 
-Candidate strings are long runs over one character class (hexadecimal digits, the base64 alphabet). A window
+Candidate strings are long runs over one character class (hexadecimal digits, the base64 alphabet, letters of one case
+with digits). A window
 slides over each candidate; one character comes in and one goes out, so the counts and the sum of c*log2(c), and
 with them the Shannon entropy of the window, are updated instead of computed anew. A candidate whose highest
 window reaches its class's threshold is a finding unless an allow-list pattern (placeholders, UUIDs, paths,
@@ -25,7 +26,7 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more in all
 HEX = r"[0-9a-f]{16,}"
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_alnum")
 
 
 @dataclass(frozen=True)
@@ -41,16 +42,23 @@ class CharacterClass:
     needs: str
 
 
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+#: What no part of a path holds: a plus, a letter just after a digit, a long number, a letter alone.
+_NO_PATH = r"\+|[0-9][A-Za-z]|[0-9]{11}|(?<![A-Za-z])[a-z](?![a-z0-9])|(?<![A-Z])[A-Z](?![A-Za-z0-9])"
+#: Words and numbers with signs between them.
+_SLUG = r"[_-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[_-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+))*[_-]*"
+
 CLASSES = (
     CharacterClass("entropy_hex", r"[0-9A-F]{24,}", "0123456789ABCDEF", 24, 3.0, r"[0-9].*[A-F]|[A-F].*[0-9]"),
-    CharacterClass("entropy_base64", r"[A-Za-z0-9+/_-]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 24, 3.8, r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
+    CharacterClass("entropy_base64", r"[A-Za-z0-9+/_-]{24,}", _BASE64, 24, 3.8, r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
+    CharacterClass("entropy_alnum", r"[a-z0-9_-]{24,}|[A-Z0-9_-]{24,}", _BASE64, 24, 3.5, rf"^(?=.*[0-9])(?=.*[A-Za-z])(?!{_SLUG}$)"),
 )
 
 #: Findings of the entropy scan that are no secrets.
 ALLOWED = (
     r"(?i)example|placeholder|redacted|changeme|your[_-]?(key|token|secret)",
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^/|/[^/]*/[^/]*/",
+    rf"^(?=/|[^/]*/[^/]*/[^/]*/)(?!.*(?:{_NO_PATH}))",
     r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
     r"^(.)\1+$",
 )
@@ -121,7 +129,8 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("__base", F.concat("__s0", "__s1", "__s2"))
     apart = lambda spans, others: F.filter(spans, lambda s: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     step = step.withColumn("__hex", apart(F.col("__s3"), F.col("__base")))
-    step = step.withColumn("__more", F.concat(F.col("__hex"), apart(F.col("__s4"), F.concat("__base", "__hex"))))
+    step = step.withColumn("__wide", F.concat(F.col("__hex"), apart(F.col("__s4"), F.concat("__base", "__hex"))))
+    step = step.withColumn("__more", F.concat(F.col("__wide"), apart(F.col("__s5"), F.concat("__base", "__wide"))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = F.transform(F.sort_array(F.concat("__base", "__more")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.get(kinds, s["kind"]).alias("name")))
     return step.select(*names, settled(named).alias("secrets"))
