@@ -466,16 +466,18 @@ class Compiler:
         return Typed(F.transform(ordered, lambda x: x["v"]), v.type, True)
 
     def f_repeat(self, c, args, s, depth: int = 8):
-        """A typed schema bounds the depth: levels are unrolled until the path no longer exists."""
+        """A typed schema bounds the depth: levels are unrolled until the path no longer exists, deeper ones than ``depth`` not at all."""
         level, out, done = c, None, 0
-        while done < depth:
+        while True:
             try:
                 level = self.f_select(level, args, s)
             except NotCompilable:
                 break
-            out = level if out is None or out.type != level.type else Typed(F.concat(out.column, level.column), level.type, True)
-            if out.type != level.type:
+            if done == depth:
+                raise NotCompilable("repeat() over many levels")
+            if out is not None and out.type != level.type:
                 raise NotCompilable("repeat() over changing types")
+            out = level if out is None else Typed(F.concat(out.column, level.column), level.type, True)
             done += 1
         if out is None:
             raise NotCompilable("repeat()")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_depth: int = 64) -> DataFrame:
-    """(child, parent, depth) of all pairs connected by a path of up to ``max_depth`` edges, with the shortest depth.
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_depth: int | None = None) -> DataFrame:
+    """(child, parent, depth) of all pairs connected by a path, of up to ``max_depth`` edges if given, with the shortest depth.
 
     Cycles end, as a pair that is known is not followed again. Null ends are left out.
     """
@@ -33,7 +34,7 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_
     base = materialize(base)
     known = base.withColumn("depth", F.lit(1))
     frontier = known
-    for depth in range(2, max_depth + 1):
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         step = frontier.alias("f").join(base.alias("e"), F.col("f.parent") == F.col("e.child")).select(F.col("f.child").alias("child"), F.col("e.parent").alias("parent")).distinct()
         fresh = materialize(step.join(known.select("child", "parent"), ["child", "parent"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
@@ -43,12 +44,12 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_
     return known
 
 
-def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, max_depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
     """(id, depth) of what can be reached from the ids in ``start`` (column id, depth 0 themselves)."""
     links = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).filter("s IS NOT NULL AND t IS NOT NULL")
     seen = start.select("id", F.lit(0).alias("depth")).distinct()
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         fresh = frontier.join(links, F.col("id") == F.col("s")).select(F.col("t").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         fresh = materialize(fresh.withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():

@@ -18,11 +18,11 @@ CONCEPT = "system string, code string, display string, active boolean, propertie
 UNMATCHED = ("unmatched", "disjoint")
 
 
-def flatten_concepts(systems: DataFrame, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Concepts and edges of code systems given as (url, concept: nested array of struct<code, display, concept>)."""
+def flatten_concepts(systems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts and edges of code systems given as (url, concept: nested array of struct<code, display, concept>), to the end of the schema."""
     level = systems.select(F.col("url").alias("system"), F.explode("concept").alias("c"), F.lit(None).cast("string").alias("parent"))
     concepts, edges = [], []
-    for _ in range(max_depth):
+    while True:
         concepts.append(level.select("system", F.col("c.code").alias("code"), F.col("c.display").alias("display"), F.lit(True).alias("active"), F.create_map().cast("map<string,string>").alias("properties")))
         edges.append(level.filter("parent IS NOT NULL").select("system", F.col("c.code").alias("child"), "parent"))
         if "concept" not in level.schema["c"].dataType.fieldNames():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkclin.functions import text as tx
 from sparkclin.functions import units
 from sparkclin.functions.temporal import add, compare, parse_temporal, search_range
-from sparkclin.operators import hierarchy, history, indexing
+from sparkclin.operators import hierarchy, history, indexing, terminology
 from sparkclin.operators.search import Search, Store, number_range, version_key
 from sparkclin.operators.validation import differential, expand_choice, merge_element, snapshot, unknown_elements
 from sparkclin.plans.catalog import Catalog, SearchError
@@ -105,6 +105,22 @@ def test_text_functions(spark):
     assert [r.v for r in v] == ["1.9", "1.9.1", "1.10"]
 
 
+def test_closure_has_no_bound_of_its_own():
+    import inspect
+
+    assert inspect.signature(hierarchy.closure).parameters["max_depth"].default is None
+    assert inspect.signature(hierarchy.reachable).parameters["max_depth"].default is None
+
+
+def test_code_systems_of_any_depth(spark):
+    kind, tree = "struct<code:string,display:string>", {"code": "c14", "display": "d"}
+    for k in range(13, -1, -1):
+        kind, tree = f"struct<code:string,display:string,concept:array<{kind}>>", {"code": f"c{k}", "display": "d", "concept": [tree]}
+    concepts, edges = terminology.flatten_concepts(spark.createDataFrame([("u", [tree])], f"url string, concept array<{kind}>"))
+    assert {r.code for r in concepts.collect()} == {f"c{k}" for k in range(15)}
+    assert {(r.child, r.parent) for r in edges.collect()} == {(f"c{k + 1}", f"c{k}") for k in range(14)}
+
+
 def test_closure_with_cycle_and_diamond(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("d", "e"), ("e", "c"), (None, "x")], "child string, parent string")
     got = {(r.child, r.parent) for r in hierarchy.closure(edges).collect()}
