@@ -13,7 +13,8 @@ from sparkclin.session import ship_package
 #: White space of the word rules: blank and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Spark's settings of Arrow batches: its default, and ours in its place.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
@@ -24,13 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors' path.
 
-    Where the session has Spark's default of 10,000 rows a batch, it is lowered to ``BATCH_ROWS``, as a batch of texts
-    is held in a worker several times over.
+    Where the session has Spark's defaults of 10,000 rows and 64 MB a batch, they are lowered for the session to 1,000 rows
+    and 16 MB, as a batch of texts is held in a worker several times over. Other settings of the caller stay.
     """
     spark = df.sparkSession
     ship_package(spark)
-    if spark.conf.get(BATCH_SETTING) == "10000":
-        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     return df.mapInArrow(function, schema)
 
 
@@ -51,6 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_alive: list[DataFrame] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, outlives executors."""
     spark = df.sparkSession
@@ -58,6 +63,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    _alive.append(out)
     return out
 
 
@@ -68,6 +74,12 @@ def drop_written(df: DataFrame) -> None:
         jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+        _alive[:] = [t for t in _alive if t is not df]
+
+
+def written_since(count: int = 0) -> list[DataFrame]:
+    """The tables of ``written`` not deleted yet, without the first ``count``; for callers that have read their results."""
+    return _alive[count:]
 
 
 def fresh_key(name: str) -> Column:

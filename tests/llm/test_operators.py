@@ -360,6 +360,56 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id in (2, 3, 4)) and super_minhash.group(empty, size=2).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    rng = random.Random(5)
+    a, b = ([rng.choice("abcdefghijklmnop") + str(rng.randrange(90)) for _ in range(200)] for _ in range(2))
+    one, two = " ".join(a), " ".join(b)
+    near = lambda words: " ".join([*words[:150], "other", *words[151:]])
+    rows = [(1, one), (1, two), (2, near(a)), (3, near(b)), (None, one + " more"), (None, "words of its own are here"), (None, None), (None, None), (4, ""), (None, "alone there twice or more"), (None, "alone there twice or more")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in super_minhash.group(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), *[(None, None, True)] * 5, (4, 4, True)], key=str)
+    left = super_minhash.deduplicate(frame(spark, rows))
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, one), (1, two), (None, "words of its own are here"), (None, None), (None, None), (4, ""), (None, "alone there twice or more")], key=str)
+
+
+def test_near_duplicates_of_very_long_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, "\n".join(words[:300_000]) + " " + " ".join(rng.sample(words, 20_000))), (3, " ".join(words[:360_000])), (4, " ".join(words[::-1]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in super_minhash.group(frame(spark, rows), size=2).collect()}
+    assert got == components(rows, 2, 80) and got[3][1] == 1 and got[4][1] == 4
+    whole = super_minhash.Shingler(2)(rows[0][1])
+    monkeypatch.setattr(super_minhash, "PIECE", 1000)
+    assert (super_minhash.Shingler(2)(rows[0][1]) == whole).all()
+    pieced = super_minhash.super_minhash(whole, 336)
+    monkeypatch.setattr(super_minhash, "LAID", 1 << 30)
+    assert (super_minhash.super_minhash(whole[:20_000], 336) == super_minhash.super_minhashes([whole[:20_000], whole[:9]], 336)[0]).all()
+    assert (pieced != 0).all()
+
+
+def super_minhash_by_hand(elements, m):
+    """Every element's whole permutation, round by round."""
+    mix = lambda x: int(super_minhash._mixed(np.array([x], np.uint64))[0])
+    best = [None] * m
+    for e in elements:
+        places = list(range(m))
+        for j in range(m):
+            draw = mix((e + (j + 1) * int(super_minhash._STEP)) % 2**64)
+            k = j + ((draw >> 40) * (m - j) >> 24)
+            places[j], places[k] = places[k], places[j]
+            offer = (j, (draw << 24 | draw >> 40) % 2**64, e)
+            best[places[j]] = offer if best[places[j]] is None else min(best[places[j]], offer)
+    return [b[2] for b in best]
+
+
+def test_signatures_equal_those_by_hand():
+    rng = random.Random(7)
+    sets = [np.array(sorted(rng.randrange(2**64) for _ in range(n)), np.uint64) for n in (1, 2, 5, 13, 60, 150, 0, 7)]
+    for row, items in zip(super_minhash.super_minhashes(sets, 48), sets):
+        assert row.tolist() == (super_minhash_by_hand(items.tolist(), 48) if len(items) else [0] * 48)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 1500, dtype=np.uint64)
