@@ -1,7 +1,8 @@
 """Token counts of a SentencePiece BPE vocabulary by rank-synchronous array merging.
 
 A text is escaped as the library escapes it (a blank becomes the mark, one mark goes in front) and cut into
-pre-tokens at places no piece of the vocabulary crosses. Pre-tokens not seen before are merged together, as
+pre-tokens at places no piece of the vocabulary crosses; long ones, as of texts without blanks, are cut further where no
+piece that occurs there lies across. Pre-tokens not seen before are merged together, as
 ragged numpy arrays of symbol ids: in each round every sequence merges its pair of lowest rank (the leftmost of
 equals), all sequences at once, until none has a pair left. The symbols that survive are counted; characters
 outside the vocabulary count their UTF-8 bytes (byte fallback).
@@ -21,6 +22,9 @@ from sparkclin.llm.common import arrow_map
 
 MARK = "▁"
 NO_PAIR = np.iinfo(np.int64).max
+#: Pre-tokens longer than this are cut wherever no piece of the vocabulary lies across.
+LONG = 48
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceVocabulary:
@@ -62,6 +66,16 @@ class PieceVocabulary:
         body = f"[^{MARK}{alone}]"
         self.split = re.compile(f"{MARK}+{body}*|{body}+" + (f"|[{alone}]" if alone else ""))
 
+        # hashes of the pieces by length; two texts that share one only leave a place uncut
+        self.longest, self.hashes = max(map(len, self.ids)), {}
+        for n in range(2, self.longest + 1):
+            same = [p for p in self.ids if len(p) == n]
+            points = np.array([[ord(c) for c in p] for p in same], np.uint64).reshape(len(same), n) + np.uint64(1)
+            h = points[:, 0]
+            for k in range(1, n):
+                h = h * _BASE + points[:, k]
+            self.hashes[n] = np.sort(h)
+
         # pieces of marks alone share one rank, so a run of marks closes the longest of them again and again
         # from the left; where that holds, long runs are cut beforehand
         marks = [p for p in self.ids if set(p) == {MARK}]
@@ -78,8 +92,27 @@ class PieceVocabulary:
         long = 4 * self.run
         if long and MARK * long in marked:
             out = [part for w in out for part in self.cut_run(w)]
+        if len(max(out, key=len)) > LONG:
+            out = [part for w in out for part in self.cut_free(w)]
         return out
 
+    def cut_free(self, word: str) -> list[str]:
+        """A long word, cut wherever no piece that occurs in it lies across, as then no merge can either."""
+        if len(word) <= LONG:
+            return [word]
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(points)
+        change, h = np.zeros(n + 1, np.int32), points
+        for size in range(2, min(n, self.longest) + 1):
+            h = h[:-1] * _BASE + points[size - 1 :]
+            keys = self.hashes[size]
+            if len(keys):
+                start = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+                change[start + 1] += 1
+                change[start + size] -= 1
+        cuts = [0, *(np.flatnonzero(np.cumsum(change)[1:n] == 0) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def cut_run(self, word: str) -> list[str]:
         """A long run of marks as pieces of full length from the left, and the rest with what follows."""
         n = len(word) - len(word.lstrip(MARK))
