@@ -61,6 +61,14 @@ def test_token_counts_of_any_text(pieces, text):
     assert token_count.TextCounter(pieces[0]).counts([text]) == [len(pieces[1].encode(text))]
 
 
+def test_token_counts_of_long_texts_without_blanks(pieces):
+    vocabulary, model = pieces
+    rng = random.Random(10)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 60_000), ("日本語中文字漢仮名ひらがな", 30_000), (secret_scan._BASE64, 50_000), ("etaoin", 20_000), ("aab", 10_000))]
+    texts += ["".join(LONG.split()) * 3, "\u2581".join("ab" * 200 for _ in range(5)), "x" * 100 + "\n" * 100 + "é" * 100]
+    assert token_count.TextCounter(vocabulary).counts(texts) == [len(model.encode(t)) for t in texts]
+
+
 def test_token_counts(spark, corpus, odd, empty, pieces):
     rows = token_count.count_tokens(corpus, tokenizer_file("piece_bpe_32k.model"), keep=("doc_id", "text")).collect()
     assert len(rows) == corpus.count()
@@ -188,6 +196,41 @@ def test_window_entropy_and_allow_list(spark):
     assert not [s for r in secret_scan.find_secrets(df).collect() for s in r.secrets if s.name.startswith("entropy")]
 
 
+def all_spans(text):
+    """Base spans, then those of each class that overlap none so far, by plain loops."""
+    taken = [(int(s), ("assign", "access", "hex").index(k), int(e)) for k, s, e in (x.split(":") for x in base_spans(text))]
+    for cls in secret_scan.CLASSES:
+        new = []
+        for m in re.finditer(cls.pattern, text):
+            ok = re.search(cls.needs, m[0]) and not any(re.search(p, m[0]) for p in secret_scan.ALLOWED) and entropy(m[0], cls.window) >= cls.bits
+            if ok and not any(s < m.end() and m.start() < e for s, _, e in taken):
+                new.append((m.start(), secret_scan.KINDS.index(cls.kind), m.end()))
+        taken += new
+    return [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(taken)]
+
+
+def redacted(text):
+    out, at = "", 0
+    for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in all_spans(text)):
+        if s >= at:
+            out += text[at:s] + "[secret]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_all_spans_by_brute_force(spark, corpus):
+    rng = random.Random(9)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = [lambda: pick("0123456789abcdef", 20), lambda: pick("0123456789ABCDEF", 30), lambda: pick(secret_scan._BASE64, 40), lambda: "secret=" + pick("abcdef0123456789", 18), lambda: "AKIA" + pick("ABCDEFG0123456789", 30), lambda: pick("abcdefghij0123456789_-", 33), lambda: "plain words"]
+    mixed = ["".join(rng.choice(kinds)() + rng.choice([" ", "/", "\n", "-", "é"]) for _ in range(rng.randrange(1, 12))) for _ in range(120)]
+    texts = [r.text for r in corpus.collect()] + mixed + [" ".join(rng.choice(kinds)() for _ in range(6000)), pick(secret_scan._BASE64, 60_000), "x" + pick(secret_scan._BASE64, 23) + "é" * 300_000]
+    df = frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: [f"{s.name}:{s.start}:{s.end}" for s in r.secrets] for r in secret_scan.find_secrets(df).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == all_spans(t or "") and clean[k] == (redacted(t) if t is not None else None), k
+
+
 def test_secrets_with_slashes_or_of_one_case(spark):
     rng, alphabet = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     keys = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (40, 64, 128, 256, 512) for _ in range(40)]
@@ -485,13 +528,26 @@ def test_leaks_of_any_share_of_the_passage(spark, monkeypatch, scale):
     assert want <= got and not {d for d, _ in got if d >= 10_000}
 
 
+def test_leaks_in_very_long_texts(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(300)}" for _ in range(n))) for k, n in enumerate([3, 5, 30, 500, 2000])]
+    long = [f"host{rng.randrange(5000)}" for _ in range(300_000)]
+    rows, want = [], set()
+    for k, t in items:  # at the start, the end and across the pieces that are searched at a time
+        for j, at in enumerate((0, len(long), 8180, 16384, 150_001)):
+            rows.append((10 * k + j, " ".join([*long[:at], t, *long[at:]])))
+            want.add((10 * k + j, k))
+    got = decontaminate.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= want and all(r.lcs == 1.0 for r in got if (r.doc_id, r.item_id) in want)
+
+
 def test_search_equals_brute_force(spark, corpus):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     index = next(decontaminate.build_indexes(corpus, bench))
     search, block = decontaminate.Searcher(index, decontaminate.Rule()), index.blocks[0]
     for r in corpus.collect():
         words = decontaminate._lookup(decontaminate.words_of(r.text), index.place, len(index.place)).tolist()
-        want = {block.item_ids[k]: f for k in range(len(block.items)) if (f := search.check(block, words, 0, len(words), k))}
+        want = {block.item_ids[k]: f for k in range(len(block.items)) if (f := search.check(block, words, 0, len(words), k, [j for j, w in enumerate(words) if w in block.masks[k]]))}
         assert {f["item_id"]: (f["lcs"], f["answer"]) for f in search(r.text)} == want
 
 

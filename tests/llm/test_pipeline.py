@@ -82,3 +82,21 @@ def test_queries_with_sql(spark, sf, name):
 
 def test_all_ten_are_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_stages_with_odd_rows(spark, sf):
+    words = [f"word{k}" for k in range(120)]
+    long = " ".join(words)
+    rows = [(None, long, "en", "s", 5), (None, long + " more", None, None, None), (1, None, "en", "s", None), (1, "", "en", "s", 0), (2, long, "en", "s", 7), (2, long, "en", "s", 7), (2, " ".join(words[::-1]), "en", "s", 7), (None, None, None, None, None), (None, "some words of its own that nothing else has", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    left = stages["near duplicates"](spark, docs.withColumn("__extra", docs.text), sf)
+    assert left.columns == corpus_pipeline.COLUMNS
+    assert texts(left) == sorted([(2, long), (2, rows[6][1]), (1, None), (1, ""), (None, None), (None, rows[8][1])], key=str)
+    assert texts(stages["decontamination"](spark, docs, sf)) == texts(docs)
+    assert texts(stages["secret scans"](spark, docs, sf)) == texts(docs)
+    assert stages["byte-level BPE"](spark, docs, sf).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert stages["quality classifier"](spark, docs, sf).columns == corpus_pipeline.COLUMNS
