@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def normalize_text(value: str | None) -> str | None:
@@ -23,21 +23,36 @@ def _normalize(values):
     return values.map(normalize_text)
 
 
+@pandas_udf(ArrayType(StringType()))
+def _normalize_all(arrays):
+    return arrays.map(lambda values: None if values is None else [normalize_text(v) for v in values])
+
+
 #: Accented letters of the Latin languages and their base letters, so that most texts never leave the JVM.
 ACCENTED = "áàâäãåāçćčéèêëēíìîïīñńóòôöõōøúùûüūýÿžźżßÁÀÂÄÃÅĀÇĆČÉÈÊËĒÍÌÎÏĪÑŃÓÒÔÖÕŌÚÙÛÜŪÝŸŽŹŻ"
 PLAIN = "".join((normalize_text(c) or c) if c not in "øß" else c for c in ACCENTED)
 
 
+def _simple(column: Column) -> tuple[Column, Column]:
+    """A text with the accents of Latin letters taken off, and whether that is all that is to be done besides case."""
+    simple = F.translate(column, ACCENTED, PLAIN)
+    return F.regexp_replace(F.lower(simple), r"[^a-z0-9øß]", ""), ~simple.rlike(r"[^\x00-\x7Føß]")
+
+
 def normalize(column: Column) -> Column:
     """``normalize_text`` for a Column: ASCII and Latin letters by built-in functions, other texts by an Arrow UDF."""
-    simple = F.translate(column, ACCENTED, PLAIN)
-    plain = ~simple.rlike(r"[^\x00-\x7Føß]")
-    fast = F.regexp_replace(F.lower(simple), r"[^a-z0-9øß]", "")
+    fast, plain = _simple(column)
     return F.when(plain, fast).otherwise(_normalize(F.when(~plain, column)))
 
 
+def normalize_all(values: Column) -> Column:
+    """``normalize`` for the texts of an array; only arrays that hold other than Latin letters leave the JVM."""
+    other = F.exists(values, lambda v: ~_simple(v)[1])
+    return F.when(F.coalesce(other, F.lit(False)), _normalize_all(F.when(other, values))).otherwise(F.transform(values, lambda v: _simple(v)[0]))
+
+
 def normalize_native(column: Column) -> Column:
-    """The built-in part alone, for texts known to be in Latin letters."""
+    """The built-in part alone, where no Python can run; letters beyond Latin keep their marks."""
     return F.regexp_replace(F.lower(F.translate(column, ACCENTED, PLAIN)), r"[^\p{L}\p{N}]", "")
 
 

@@ -16,7 +16,6 @@ from sparkclin.fhirpath.compiler import Typed, compile_expression
 from sparkclin.functions import text as tx
 from sparkclin.plans.catalog import SearchParam
 
-COMPOSITE_CAP = 2000
 KEYS = ("resource_type", "id", "version_id")
 
 
@@ -110,7 +109,7 @@ def _quantity(x: Column, t: T.DataType) -> Column:
 
 
 def parse_reference(ref: Column) -> Column:
-    """kind, target_type, target_id, version and url of a reference text."""
+    """kind, target_type, target_id, version and url of a reference text; of a fragment the target_id is its name."""
     fragment = ref.startswith("#")
     absolute = ref.rlike(r"^[a-z][a-z0-9+.-]*:")
     pattern = r"(?:^|/)([A-Z][A-Za-z]+)/([A-Za-z0-9.\-]+)(?:/_history/([A-Za-z0-9.\-]+))?$"
@@ -118,14 +117,18 @@ def parse_reference(ref: Column) -> Column:
     typed = part(1).isNotNull()
     kind = F.when(fragment, "fragment").when(absolute & ~typed, "canonical").when(absolute, "absolute").otherwise("relative")
     return F.struct(
-        kind.alias("reference_kind"), part(1).alias("target_type"), F.when(typed, part(2)).when(~absolute & ~fragment, ref).alias("target_id"), part(3).alias("target_version_id"),
+        kind.alias("reference_kind"), F.when(~fragment, part(1)).alias("target_type"), F.when(fragment, F.substring(ref, 2, F.length(ref))).when(typed, part(2)).when(~absolute, ref).alias("target_id"), part(3).alias("target_version_id"),
         F.when(absolute, F.substring_index(ref, "|", 1)).alias("target_url"), F.when(F.contains(ref, F.lit("|")), F.substring_index(ref, "|", -1)).alias("canonical_version"),
     )
 
 
+REFERENCE = "struct<reference_kind:string,target_type:string,target_id:string,target_version_id:string,target_url:string,canonical_version:string,display:string>"
+
+
 def _reference(x: Column, t: T.DataType) -> Column:
     ref = x.getField("reference") if "reference" in _fields(t) else x.cast("string")
-    return F.when(ref.isNotNull(), F.array(parse_reference(ref))).otherwise(F.array().cast("array<struct<reference_kind:string,target_type:string,target_id:string,target_version_id:string,target_url:string,canonical_version:string>>"))
+    display = x.getField("display") if "display" in _fields(t) else F.lit(None).cast("string")
+    return F.when(ref.isNotNull(), F.array(parse_reference(ref).withField("display", display))).otherwise(F.array().cast(f"array<{REFERENCE}>"))
 
 
 EXTRACTORS = {"string": _string, "token": _token, "date": _date, "number": _number, "quantity": _quantity, "reference": _reference, "uri": _string}
@@ -140,30 +143,32 @@ def extract(df: DataFrame, param: SearchParam, resource: str = "resource") -> Co
     return _each(v, lambda x: build(x, v.type))
 
 
-def _composite(v: Typed, param: SearchParam) -> Column:
-    """Tuples of the components' values within each group, capped."""
+def component_values(x: Column, t: T.DataType, expression: str, kind: str) -> Column:
+    """The index values of one component within a group of a composite."""
+    c = compile_expression(expression, x, t)
+    return _each(c, lambda y: EXTRACTORS[kind](y, c.type))
 
-    def values(x: Column, expression: str, kind: str) -> Column:
-        c = compile_expression(expression, x, v.type)
-        return _each(c, lambda y: EXTRACTORS[kind](y, c.type))
+
+def _composite(v: Typed, param: SearchParam) -> Column:
+    """Tuples of the components' values within each group."""
 
     def product(out: Column, more: Column, k: int) -> Column:
         one = lambda a: F.transform(more, lambda b: F.struct(*[a.getField(f"c{j}").alias(f"c{j}") for j in range(k)], b.alias(f"c{k}")))
         return F.flatten(F.transform(out, one))
 
     def tuples(x: Column) -> Column:
-        parts = [values(x, expression, kind) for _, expression, kind in param.components]
+        parts = [component_values(x, v.type, expression, kind) for _, expression, kind in param.components]
         out = F.transform(parts[0], lambda a: F.struct(a.alias("c0")))
         for k, more in enumerate(parts[1:], 1):
             out = product(out, more, k)
         return out
 
-    return F.slice(F.flatten(F.transform(v.array().column, tuples)), 1, COMPOSITE_CAP)
+    return F.flatten(F.transform(v.array().column, tuples))
 
 
 def _values(kind: str) -> list[Column]:
     if kind == "string":
-        return [F.col("v").alias("value"), tx.normalize_native(F.col("v")).alias("value_normalized")]
+        return [F.col("v").alias("value"), tx.normalize(F.col("v")).alias("value_normalized")]
     if kind == "uri":
         return [F.col("v").alias("value"), F.lower("v").alias("value_normalized")]
     return [F.col("v").alias("value")] if kind == "number" else [F.col("v.*")]
@@ -216,15 +221,69 @@ def reference_identifiers(resources: DataFrame, param: SearchParam) -> DataFrame
     return rows.select(*KEYS, F.lit(param.code).alias("parameter_name"), "v.*")
 
 
-def narrative_text(resources: DataFrame) -> DataFrame:
-    """The _text index: a narrative without its markup."""
-    return resources.filter("resource.text.div IS NOT NULL").select(*KEYS, F.lit("_text").alias("parameter_name"), tx.strip_html(F.col("resource.text.div")).alias("content"))
+def narrative(resource: str, t: T.DataType) -> Column:
+    """The narrative of a resource without its markup; null where its type has none."""
+    if "text" in _fields(t) and "div" in _fields(t["text"].dataType):
+        return tx.strip_html(F.col(f"{resource}.text.div"))
+    return F.lit(None).cast("string")
 
 
-def content_text(resources: DataFrame, *paths: str) -> DataFrame:
-    """The _content index: distinct texts of the given paths in order, joined by blanks."""
-    parts = F.array_compact(F.array(*[F.col(f"resource.{p}").cast("string") for p in paths]))
-    return resources.select(*KEYS, F.lit("_content").alias("parameter_name"), F.array_join(F.array_distinct(parts), " ").alias("content"))
+def narrative_text(resources: DataFrame) -> DataFrame:
+    """The _text index: a narrative without its markup."""
+    content = narrative("resource", resources.schema["resource"].dataType)
+    return resources.select(*KEYS, F.lit("_text").alias("parameter_name"), content.alias("content")).filter("content IS NOT NULL")
+
+
+# The parts of names and addresses, and the elements that hold text wherever they occur.
+NAME_PARTS = ("family", "given", "prefix", "suffix")
+ADDRESS_PARTS = ("line", "city", "district", "state", "postalCode", "country")
+TEXT_PARTS = ("text", "display")
+
+
+def _texts(x: Column, t: T.DataType, also: tuple[str, ...] = ()) -> Column | None:
+    """The texts anywhere in a value, as an array: text and display elements, parts of names and addresses, contacts."""
+    if isinstance(t, T.ArrayType):
+        if _texts(x, t.elementType) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(x, lambda y: _texts(y, t.elementType))), F.array().cast("array<string>"))
+    if not isinstance(t, T.StructType):
+        return None
+    names = set(t.fieldNames())
+    wanted = {*TEXT_PARTS, *also}
+    if {"family", "given"} & names:
+        wanted |= set(NAME_PARTS)
+    elif names & set(ADDRESS_PARTS):
+        wanted |= set(ADDRESS_PARTS)
+    elif {"system", "value"} <= names:
+        wanted |= {"value"}
+    parts = []
+    for f in t.fields:
+        y = x.getField(f.name)
+        if isinstance(f.dataType, T.StringType):
+            parts += [F.array(y)] if f.name in wanted else []
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            parts += [F.coalesce(y, F.array().cast("array<string>"))] if f.name in wanted else []
+        elif (inner := _texts(y, f.dataType)) is not None:
+            parts.append(inner)
+    return F.concat(*parts) if parts else None
+
+
+def content(resource: str, t: T.DataType, *also: str) -> Column:
+    """All text of a resource: the narrative, then other texts in their order, each once, joined by blanks."""
+    found = _texts(F.col(resource), t, also)
+    parts = F.array(narrative(resource, t))
+    parts = parts if found is None else F.concat(parts, found)
+    return F.array_join(F.filter(F.array_distinct(F.array_compact(parts)), lambda p: F.trim(p) != ""), " ")
+
+
+#: Elements of a resource itself that count as text besides those of any type.
+OWN_TEXT = ("description", "name", "title", "action")
+
+
+def content_text(resources: DataFrame, *also: str) -> DataFrame:
+    """The _content index: all text of a resource, and the elements of its own that are named."""
+    made = content("resource", resources.schema["resource"].dataType, *(also or OWN_TEXT))
+    return resources.select(*KEYS, F.lit("_content").alias("parameter_name"), made.alias("content"))
 
 
 def memberships(resources: DataFrame, field: str = "member", reference: str = "entity") -> DataFrame:

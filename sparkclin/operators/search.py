@@ -1,8 +1,9 @@
-"""Search: conditions become semi- and anti-joins of resources with index rows.
+"""Search: conditions become filters on the resources, or semi- and anti-joins with index rows.
 
-A request is resolved on the driver (catalogue, prefixes, modifiers, ranges); what runs is one lazy DataFrame. Values of
-one parameter are a disjunction inside one semi join, parameters are successive joins. Index rows of a parameter come
-from the shredding of that parameter alone, so only its columns are read.
+A request is resolved on the driver (catalogue, prefixes, modifiers, ranges); what runs is one lazy DataFrame. Without a
+stored index a condition on a resource's own values is a filter on its row: it tests whether any of the parameter's
+values satisfies it, so a request of many such conditions is one scan without a shuffle. With a stored index it is a
+semi-join with the index rows. Chains, reverse chains and value sets are joins in both cases.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkclin.fhirpath.compiler import compile_expression
 from sparkclin.functions import text as tx
 from sparkclin.functions.temporal import search_range
 from sparkclin.operators import hierarchy, indexing
-from sparkclin.plans.catalog import COMPARTMENTS, MANDATORY, MODIFIERS, SUMMARY, Catalog, SearchError, SearchParam
+from sparkclin.plans.catalog import COMPARTMENTS, MANDATORY, MODIFIERS, PREFIXES, SUMMARY, Catalog, SearchError, SearchParam
 from sparkclin.plans.request import DEFAULT_COUNT, Condition, Request, age_to_birthdate, parse_filter, parse_request, parse_text_query, split_escaped, split_prefix
 
 UCUM = "http://unitsofmeasure.org"
@@ -29,39 +31,39 @@ def _any(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns) if columns else F.lit(False)
 
 
-# value clauses: what a row of an index must satisfy
+# value clauses: what a value must satisfy; ``of`` gives its columns by name, of an index row or of an array's element
 
 
-def string_clause(value: str, modifier: str | None = None) -> Column:
+def string_clause(value: str, modifier: str | None = None, of=F.col) -> Column:
     if modifier == "exact":
-        return F.col("value") == value
+        return of("value") == value
     if modifier == "text":
-        return tx.matches_query(F.col("value"), parse_text_query(value))
-    folded = tx.normalize_text(value)
-    return F.contains("value_normalized", F.lit(folded)) if modifier == "contains" else F.startswith(F.col("value_normalized"), F.lit(folded))
+        return tx.matches_query(of("value"), parse_text_query(value))
+    folded = F.lit(tx.normalize_text(value))
+    return F.contains(of("value_normalized"), folded) if modifier == "contains" else F.startswith(of("value_normalized"), folded)
 
 
-def token_clause(value: str, modifier: str | None = None) -> Column:
+def token_clause(value: str, modifier: str | None = None, of=F.col) -> Column:
     """``code``, ``system|code``, ``|code`` (no system) and ``system|``; codes match in any case but those of UCUM."""
     if modifier in ("text", "code-text"):
-        return F.startswith(F.lower(F.col("display" if modifier == "text" else "code")), F.lit(value.lower()))
+        return F.startswith(F.lower(of("display" if modifier == "text" else "code")), F.lit(value.lower()))
     if modifier == "text-advanced":
-        return tx.matches_query(F.col("display"), parse_text_query(value))
+        return tx.matches_query(of("display"), parse_text_query(value))
     if "|" not in value:
-        return F.col("code_ci") == value.lower()
+        return of("code_ci") == value.lower()
     system, code = value.split("|", 1)
-    of = F.col("system").isNull() if system == "" else F.col("system") == system
+    same = of("system").isNull() if system == "" else of("system") == system
     if not code:
-        return of
-    return of & ((F.col("code") == code) if system == UCUM else (F.col("code_ci") == code.lower()))
+        return same
+    return same & ((of("code") == code) if system == UCUM else (of("code_ci") == code.lower()))
 
 
-def date_clause(value: str, start: str = "start_date", end: str = "end_date") -> Column:
+def date_clause(value: str, of=F.col) -> Column:
     """The interval algebra of the prefixes on the half-open ranges of the value and the row."""
     prefix, text = split_prefix(value)
     low, high = search_range(text)
     s, e = F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")
-    lo, hi = F.col(start), F.col(end)
+    lo, hi = of("start_date"), of("end_date")
     if prefix == "ap":
         width = (F.unix_micros(e) - F.unix_micros(s)) * F.lit(0.1)
         slack = F.greatest(width, F.lit(86_400_000_000.0)).cast("long")
@@ -82,24 +84,24 @@ def number_range(text: str) -> tuple[Decimal, Decimal, Decimal]:
     return value, value - half, value + half
 
 
-def number_clause(value: str, column: str = "value") -> Column:
+def number_clause(value: str, of=F.col) -> Column:
     prefix, text = split_prefix(value)
     number, low, high = number_range(text)
-    v, lo, hi = F.col(column), F.lit(float(low)), F.lit(float(high))
+    v, lo, hi = of("value"), F.lit(float(low)), F.lit(float(high))
     if prefix == "ap":
         return F.abs(v - F.lit(float(number))) <= F.lit(float(max(abs(number) / 10, high - number)))
     return {"eq": (v >= lo) & (v < hi), "ne": (v < lo) | (v >= hi), "gt": v >= hi, "sa": v >= hi, "ge": v >= lo, "lt": v < lo, "eb": v < lo, "le": v < hi}[prefix]
 
 
-def quantity_clause(value: str) -> Column:
+def quantity_clause(value: str, of=F.col) -> Column:
     """``number``, ``number|system|code`` or ``number||code`` (code or unit); units are not converted."""
     parts = split_escaped(value, "|")
-    out = number_clause(parts[0])
+    out = number_clause(parts[0], of)
     if len(parts) == 3:
         if parts[1]:
-            out = out & (F.col("system") == parts[1]) & (F.col("code") == parts[2])
+            out = out & (of("system") == parts[1]) & (of("code") == parts[2])
         elif parts[2]:
-            out = out & ((F.col("code") == parts[2]) | (F.col("unit") == parts[2]))
+            out = out & ((of("code") == parts[2]) | (of("unit") == parts[2]))
     return out
 
 
@@ -109,32 +111,71 @@ def version_key(column: Column) -> Column:
     return F.slice(F.concat(parts, F.array_repeat(F.lit(0), 6)), 1, 6)
 
 
-def reference_clause(value: str, targets: tuple[str, ...] = (), kind: str | None = None) -> Column:
+def reference_clause(value: str, targets: tuple[str, ...] = (), modifier: str | None = None, of=F.col) -> Column:
+    """``modifier`` is a target type, or how texts of the reference are compared, or whose versions of a canonical count."""
+    if modifier == "text":
+        return F.startswith(F.lower(of("display")), F.lit(value.lower()))
+    if modifier == "text-advanced":
+        return tx.matches_query(of("display"), parse_text_query(value))
+    if modifier == "code-text":
+        return _any([F.coalesce(F.startswith(F.lower(of(c)), F.lit(value.lower())), F.lit(False)) for c in ("target_type", "target_id", "target_url")])
     if value.startswith("#"):
-        return F.col("reference_kind") == "fragment"
+        return (of("reference_kind") == "fragment") & (of("target_id") == value[1:])
+    linked = F.coalesce(of("reference_kind") != "fragment", F.lit(False))
     if "://" in value or value.startswith("urn:"):
         url, _, version = value.partition("|")
-        of = F.col("target_url") == url
-        return of & ((F.col("canonical_version") == version) | F.startswith(F.col("canonical_version"), F.lit(version + "."))) if version else of
+        same = of("target_url") == url
+        if not version:
+            return same
+        if modifier in ("above", "below"):
+            have, want = version_key(of("canonical_version")), version_key(F.lit(version))
+            return same & of("canonical_version").isNotNull() & (have >= want if modifier == "above" else have <= want)
+        return same & ((of("canonical_version") == version) | F.startswith(of("canonical_version"), F.lit(version + ".")))
     parts = value.split("/")
     if len(parts) >= 4 and parts[-2] == "_history":
-        return (F.col("target_type") == parts[-4]) & (F.col("target_id") == parts[-3]) & (F.col("target_version_id") == parts[-1])
+        return (of("target_type") == parts[-4]) & (of("target_id") == parts[-3]) & (of("target_version_id") == parts[-1])
     if len(parts) >= 2:
-        return (F.col("target_type") == parts[-2]) & (F.col("target_id") == parts[-1])
-    of = F.col("target_id") == value
-    allowed = (kind,) if kind else targets
-    return of & F.col("target_type").isin(*allowed) if allowed else of
+        return (of("target_type") == parts[-2]) & (of("target_id") == parts[-1])
+    same = linked & (of("target_id") == value)
+    allowed = (modifier,) if modifier else targets
+    return same & of("target_type").isin(*allowed) if allowed else same
 
 
-def uri_clause(value: str, modifier: str | None = None) -> Column:
-    base = value.rstrip("/")
+def uri_clause(value: str, modifier: str | None = None, of=F.col) -> Column:
+    base, v = value.rstrip("/"), of("value")
     if modifier == "contains":
-        return F.contains("value_normalized", F.lit(value.lower()))
+        return F.contains(F.lower(v), F.lit(value.lower()))
     if modifier == "below":
-        return (F.col("value") == value) | F.startswith(F.col("value"), F.lit(base + "/"))
+        return (v == value) | F.startswith(v, F.lit(base + "/"))
     if modifier == "above":
-        return (F.col("value") == value) | F.startswith(F.lit(value), F.concat(F.rtrim(F.col("value"), F.lit("/")), F.lit("/")))
-    return F.col("value") == value
+        return (v == value) | F.startswith(F.lit(value), F.concat(F.rtrim(v, F.lit("/")), F.lit("/")))
+    return v == value
+
+
+def value_clause(param_kind: str, value: str, modifier: str | None = None, targets: tuple[str, ...] = (), of=F.col) -> Column:
+    """The clause of a value for a parameter, or a component, of a kind."""
+    if param_kind == "string":
+        return string_clause(value, modifier, of)
+    if param_kind == "token":
+        return token_clause(value, None if modifier == "not" else modifier, of)
+    if param_kind == "reference":
+        return reference_clause(value, targets, modifier, of)
+    if param_kind == "uri":
+        return uri_clause(value, modifier, of)
+    return {"date": date_clause, "number": number_clause, "quantity": quantity_clause}[param_kind](value, of)
+
+
+def _exists(values: Column, test) -> Column:
+    return F.coalesce(F.exists(values, test), F.lit(False))
+
+
+def _elements(kind: str, values: Column, folded: bool) -> tuple[Column, object]:
+    """Index values of a parameter as an array to test, and how the columns of an element are got."""
+    if kind == "string" and folded:
+        return F.arrays_zip(values.alias("value"), tx.normalize_all(values).alias("value_normalized")), lambda x: x.getField
+    if kind in ("string", "number", "uri"):
+        return values, lambda x: lambda name: x
+    return values, lambda x: x.getField
 
 
 class Store:
@@ -189,36 +230,92 @@ class Search:
     def __init__(self, store: Store, today: str | None = None):
         self.store, self.today = store, today
 
+    def own(self, kind: str, c: Condition) -> Column | None:
+        """A condition on a resource's own values as a predicate of its row; null where it takes a join or a stored index."""
+        if c.reverse or c.chain or self.store.index_path and c.code not in ("_id", "_lastUpdated"):
+            return None
+        rows = self.store.resources(kind)
+        schema = rows.schema["resource"].dataType
+        if c.code == "_id":
+            return F.col("id").isin(*c.values)
+        if c.code == "_lastUpdated":
+            at = F.col("last_updated")
+            stamp = {"start_date": at, "end_date": at + F.expr("INTERVAL 1 MICROSECOND")}
+            return _any([date_clause(v, stamp.__getitem__) for v in c.values])
+        if c.code in ("_text", "_content"):
+            text = indexing.narrative("resource", schema) if c.code == "_text" else indexing.content("resource", schema, *indexing.OWN_TEXT)
+            return _any([tx.matches_query(text, parse_text_query(v)) for v in c.values])
+        if c.code in ("_in", "_list") or c.code == "age" and self.store.names(kind, "age") is None:
+            return None
+        param = self.checked(kind, c)
+        if self.joins(param, c):
+            return None
+        if param.kind == "composite" and c.modifier != "missing":
+            return self.own_composite(rows, param, c)
+        values = indexing.extract(rows, param)
+        if c.modifier == "missing":
+            return (F.coalesce(F.size(values), F.lit(0)) > 0) != F.lit(c.values[0] == "true")
+        array, of = _elements(param.kind, values, c.modifier not in ("exact", "text"))
+        found = _exists(array, lambda x: _any([value_clause(param.kind, v, c.modifier, param.targets, of(x)) for v in c.values]))
+        return ~found if param.kind == "token" and c.modifier == "not" else found
+
+    def own_composite(self, rows: DataFrame, param: SearchParam, c: Condition) -> Column:
+        """Some group has, for each component, a value that satisfies its part; tuples are not built."""
+        groups = compile_expression(param.expression, F.col("resource"), rows.schema["resource"].dataType)
+        wanted = [self.parts(param, v) for v in c.values]
+
+        def one(g: Column, part: str, expression: str, kind: str) -> Column:
+            array, of = _elements(kind, indexing.component_values(g, groups.type, expression, kind), False)
+            return _exists(array, lambda x: value_clause(kind, part, None, (), self.folded(of(x), kind)))
+
+        def test(g: Column) -> Column:
+            each = [[one(g, part, expression, kind) for part, (_, expression, kind) in zip(parts, param.components)] for parts in wanted]
+            return _any([reduce(lambda a, b: a & b, tests) for tests in each])
+
+        return _exists(groups.array().column, test)
+
+    @staticmethod
+    def folded(of, kind: str):
+        """Columns of a string component: folded by built-in functions, as no Python runs inside a lambda."""
+        return (lambda name: tx.normalize_native(of("value")) if name == "value_normalized" else of(name)) if kind == "string" else of
+
+    def checked(self, kind: str, c: Condition) -> SearchParam:
+        param = self.store.param(kind, c.code)
+        if c.modifier and c.modifier != "missing" and c.modifier not in MODIFIERS[param.kind] and not (param.kind == "reference" and c.modifier[0].isupper()):
+            raise SearchError(f"modifier :{c.modifier} does not fit {c.code}")
+        return param
+
+    @staticmethod
+    def joins(param: SearchParam, c: Condition) -> bool:
+        """Whether a modifier looks beyond the resource itself."""
+        if param.kind == "token":
+            return c.modifier in ("in", "not-in", "above", "below", "of-type")
+        if param.kind == "reference" and c.modifier in ("above", "below"):
+            return not all("|" in v for v in c.values)  # versions of a canonical are compared in the row
+        return param.kind == "reference" and c.modifier in ("contains", "identifier")
+
     # ids that satisfy one condition, and whether they are to be taken out instead
     def ids(self, kind: str, c: Condition) -> tuple[DataFrame, bool]:
         if c.reverse:
             return self.reverse(kind, c.reverse, c), False
         if c.chain:
             return self.chain(kind, c), False
-        if c.code == "_id":
-            return self.store.resources(kind).filter(F.col("id").isin(*c.values)).select("id"), False
-        if c.code == "_lastUpdated":
-            at = F.col("last_updated")
-            rows = self.store.resources(kind).select("id", at.alias("start_date"), (at + F.expr("INTERVAL 1 MICROSECOND")).alias("end_date"))
-            return rows.filter(_any([date_clause(v) for v in c.values])).select("id"), False
         if c.code in ("_text", "_content"):
             return self.text(kind, c), False
         if c.code in ("_in", "_list"):
             return self.member_ids(kind, c), False
         if c.code == "age" and self.store.names(kind, "age") is None and self.store.names(kind, "birthdate"):
             return self.age(kind, c), False
-        param = self.store.param(kind, c.code)
+        param = self.checked(kind, c)
         if c.modifier == "missing":
             return self.store.index(kind, c.code).select("id"), c.values[0] == "true"
-        if c.modifier and c.modifier not in MODIFIERS[param.kind] and not c.modifier[0].isupper():
-            raise SearchError(f"modifier :{c.modifier} does not fit {c.code}")
         if param.kind == "token" and c.modifier in ("in", "not-in"):
             return self.expansion(kind, c), c.modifier == "not-in"
         if param.kind == "token" and c.modifier in ("above", "below"):
             return self.code_hierarchy(kind, c), False
         if param.kind == "token" and c.modifier == "of-type":
             return self.of_type(kind, c), False
-        if param.kind == "reference" and c.modifier in ("above", "below", "contains"):
+        if self.joins(param, c) and c.modifier != "identifier":
             return self.reference_hierarchy(kind, param, c), False
         if param.kind == "reference" and c.modifier == "identifier":
             rows = indexing.reference_identifiers(self.store.resources(kind), param)
@@ -227,38 +324,23 @@ class Search:
         return rows, param.kind == "token" and c.modifier == "not"
 
     def clause(self, param: SearchParam, c: Condition) -> Column:
-        each = {
-            "string": lambda v: string_clause(v, c.modifier),
-            "token": lambda v: token_clause(v, None if c.modifier == "not" else c.modifier),
-            "date": date_clause,
-            "number": number_clause,
-            "quantity": quantity_clause,
-            "reference": lambda v: reference_clause(v, param.targets, c.modifier),
-            "uri": lambda v: uri_clause(v, c.modifier),
-            "composite": lambda v: self.composite_clause(param, v),
-        }[param.kind]
-        return _any([each(v) for v in c.values])
+        """The clause of a condition on the rows of a parameter's index."""
+        if param.kind == "composite":
+            return _any([self.composite_clause(param, v) for v in c.values])
+        return _any([value_clause(param.kind, v, c.modifier, param.targets) for v in c.values])
 
-    def composite_clause(self, param: SearchParam, value: str) -> Column:
+    def parts(self, param: SearchParam, value: str) -> list[str]:
         parts = split_escaped(value, "$")
         if len(parts) != len(param.components):
             raise SearchError(f"{param.code} needs {len(param.components)} parts")
+        return parts
+
+    def composite_clause(self, param: SearchParam, value: str) -> Column:
         out = F.lit(True)
-        for k, (part, (_, _, kind)) in enumerate(zip(parts, param.components)):
-            if kind == "token":
-                system, _, code = part.rpartition("|")
-                test = F.col(f"c{k}.code_ci") == code.lower()
-                out = out & (test & (F.col(f"c{k}.system") == system) if system else test)
-            elif kind == "quantity":
-                out = out & number_clause(part.split("|")[0], f"c{k}.value")
-            elif kind == "number":
-                out = out & number_clause(part, f"c{k}")
-            elif kind == "date":
-                out = out & date_clause(part, f"c{k}.start_date", f"c{k}.end_date")
-            elif kind == "reference":
-                out = out & (F.col(f"c{k}.target_id") == part.rpartition("/")[2])
-            else:
-                out = out & F.startswith(tx.normalize_native(F.col(f"c{k}")), F.lit(tx.normalize_text(part)))
+        for k, (part, (_, _, kind)) in enumerate(zip(self.parts(param, value), param.components)):
+            plain = kind in ("string", "number", "uri")
+            of = (lambda name, k=k: F.col(f"c{k}")) if plain else (lambda name, k=k: F.col(f"c{k}.{name}"))
+            out = out & value_clause(kind, part, None, (), self.folded(of, kind))
         return out
 
     def age(self, kind: str, c: Condition) -> DataFrame:
@@ -268,19 +350,15 @@ class Search:
         today = self.today or datetime.now(timezone.utc).date().isoformat()
         found = []
         for v in c.values:
-            rows = self.store.resources(kind).select("id")
+            rows = self.store.resources(kind)
             for test in age_to_birthdate(v, today):
                 rows = self.apply(rows, kind, Condition("birthdate", None, (test,)))
-            found.append(rows)
+            found.append(rows.select("id"))
         return reduce(DataFrame.unionByName, found)
 
     def text(self, kind: str, c: Condition) -> DataFrame:
         resources = self.store.resources(kind)
-        fields = resources.schema["resource"].dataType.fieldNames()
-        if c.code == "_text":
-            rows = indexing.narrative_text(resources)
-        else:
-            rows = indexing.content_text(resources, *[f for f in ("description", "name", "action") if f in fields])
+        rows = indexing.narrative_text(resources) if c.code == "_text" else indexing.content_text(resources)
         return rows.filter(_any([tx.matches_query(F.col("content"), parse_text_query(v)) for v in c.values])).select("id")
 
     def member_ids(self, kind: str, c: Condition) -> DataFrame:
@@ -345,8 +423,8 @@ class Search:
         rows = self.store.index(kind, c.code)
         return rows.join(found.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("id")
 
-    def chain(self, kind: str, c: Condition) -> DataFrame:
-        """References whose target satisfies the rest of the chain, for each target type that knows its parameter."""
+    def chain_targets(self, kind: str, c: Condition) -> DataFrame:
+        """(target_type, target_id) of what satisfies the rest of a chain, for each target type that knows its parameter."""
         param = self.store.param(kind, c.code)
         if param.kind != "reference":
             raise SearchError(f"{c.code} is no reference")
@@ -357,26 +435,96 @@ class Search:
             if target not in self.store.frames or code != "_id" and self.store.names(target, code) is None:
                 continue
             inner = Condition(code, None, c.values, tuple(rest), modifier or None) if rest else Condition(code, modifier or None, c.values)
-            ids = self.apply(self.store.resources(target).select("id"), target, inner)
+            ids = self.apply(self.store.resources(target), target, inner)
             found.append(ids.select(F.lit(target).alias("target_type"), F.col("id").alias("target_id")))
         if not found:
             raise SearchError(f"no target of {c.code} has {code}")
-        return self.store.index(kind, c.code).join(reduce(DataFrame.unionByName, found), ["target_type", "target_id"], "left_semi").select("id")
+        return reduce(DataFrame.unionByName, found)
+
+    def chain(self, kind: str, c: Condition) -> DataFrame:
+        """Ids of the resources whose references have such targets."""
+        return self.store.index(kind, c.code).join(self.chain_targets(kind, c), ["target_type", "target_id"], "left_semi").select("id")
 
     def reverse(self, kind: str, steps: tuple[tuple[str, str], ...], c: Condition) -> DataFrame:
         """Resources that others which satisfy the condition refer to."""
         (source, reference), *rest = steps
         inner = Condition(c.code, c.modifier, c.values, reverse=tuple(rest))
-        matching = self.apply(self.store.resources(source).select("id"), source, inner)
-        rows = self.store.index(source, reference).filter(F.col("target_type") == kind)
-        return rows.join(matching, "id", "left_semi").select(F.col("target_id").alias("id"))
+        matching = self.apply(self.store.resources(source), source, inner)
+        if self.store.index_path:
+            rows = self.store.index(source, reference).join(matching, "id", "left_semi")
+        else:  # the references of what matches are in its rows
+            rows = matching.select(F.explode(indexing.extract(matching, self.store.param(source, reference))).alias("r")).select("r.*")
+        return rows.filter(F.col("target_type") == kind).select(F.col("target_id").alias("id"))
 
     def apply(self, rows: DataFrame, kind: str, c: Condition) -> DataFrame:
+        """Of ``rows``, which are resources of the type, those that satisfy the condition."""
+        own = self.own(kind, c)
+        if own is not None:
+            return rows.filter(own)
+        if c.chain and not self.store.index_path:
+            param = self.store.param(kind, c.code)
+            link = compile_expression(param.expression, F.col("resource"), rows.schema["resource"].dataType)
+            if param.kind == "reference" and not link.many:  # a single reference joins as it stands
+                targets = self.chain_targets(kind, c).select(F.col("target_type").alias("__type"), F.col("target_id").alias("__id"))
+                return rows.withColumn("__r", F.get(indexing.extract(rows, param), 0)).join(targets, (F.col("__r.target_type") == F.col("__type")) & (F.col("__r.target_id") == F.col("__id")), "left_semi").drop("__r")
         ids, negate = self.ids(kind, c)
         return rows.join(ids, "id", "left_anti" if negate else "left_semi")
 
     # _filter
+    def own_filter(self, kind: str, tree) -> Column | None:
+        """A filter whose tests are all on a resource's own values, as a predicate of its row."""
+        if tree[0] in ("and", "or"):
+            a, b = self.own_filter(kind, tree[1]), self.own_filter(kind, tree[2])
+            return None if a is None or b is None else a & b if tree[0] == "and" else a | b
+        if tree[0] == "not":
+            inner = self.own_filter(kind, tree[1])
+            return None if inner is None else ~inner
+        _, path, op, value = tree
+        if path.startswith("_has:") or "." in path:
+            return None
+        if path == "_id":
+            return self.id_test(op, value)
+        if self.store.index_path:
+            return None
+        param = self.store.param(kind, path)
+        if op == "pr":
+            return self.own(kind, Condition(path, "missing", ("false" if value == "true" else "true",)))
+        test = self.value_test(param, op, value)
+        if test is not None:
+            values = indexing.extract(self.store.resources(kind), param)
+            array, of = _elements(param.kind, values, True)
+            found = _exists(array, lambda x: test(of(x)))
+            return ~found if op == "ne" and param.kind == "string" else found
+        out = self.own(kind, self.as_condition(kind, path, op, value))
+        return None if out is None else F.coalesce(out, F.lit(False))
+
+    @staticmethod
+    def id_test(op: str, value: str) -> Column:
+        if op not in ("eq", "ne"):
+            raise SearchError(f"_id has no operator {op}")
+        return F.col("id") == value if op == "eq" else F.col("id") != value
+
+    @staticmethod
+    def value_test(param: SearchParam, op: str, value: str):
+        """Tests that requests have no form for: of whole and ending strings, and of periods that overlap."""
+        if param.kind == "string" and op in ("eq", "ne", "co", "sw", "ew"):
+            v = F.lit(tx.normalize_text(value))
+            how = {"eq": lambda t: t == v, "ne": lambda t: t == v, "co": lambda t: F.contains(t, v), "sw": lambda t: F.startswith(t, v), "ew": lambda t: F.endswith(t, v)}[op]
+            return lambda of: how(of("value_normalized"))
+        if param.kind == "date" and op == "po":
+            low, high = search_range(value)
+            return lambda of: (of("start_date") < F.lit(high).cast("timestamp")) & (of("end_date") > F.lit(low).cast("timestamp"))
+        return None
+
+    def filter_rows(self, rows: DataFrame, kind: str, tree) -> DataFrame:
+        """Of ``rows``, which are resources of the type, those that satisfy the filter."""
+        own = self.own_filter(kind, tree)
+        return rows.filter(own) if own is not None else rows.join(self.filter_ids(kind, tree), "id", "left_semi")
+
     def filter_ids(self, kind: str, tree) -> DataFrame:
+        own = self.own_filter(kind, tree)
+        if own is not None:
+            return self.store.resources(kind).filter(own).select("id")
         if tree[0] == "and":
             return self.filter_ids(kind, tree[1]).join(self.filter_ids(kind, tree[2]), "id", "left_semi")
         if tree[0] == "or":
@@ -387,51 +535,51 @@ class Search:
         return self.filter_test(kind, path, op, value)
 
     def filter_test(self, kind: str, path: str, op: str, value: str) -> DataFrame:
-        all_ids = self.store.resources(kind).select("id")
+        resources = self.store.resources(kind)
+        all_ids = resources.select("id")
         if path.startswith("_has:"):
             *steps, code = path.split(":")[1:]
             pairs = tuple(zip(steps[0::2], steps[1::2]))
-            return self.reverse(kind, pairs, self.as_condition(pairs[-1][0], code, op, value))
+            return self.reverse(kind, pairs, self.as_condition(pairs[-1][0], code, op, value)).distinct()
         if "." in path:
             head, _, rest = path.partition(".")
             head, _, inner = head.partition("[")
             param = self.store.param(kind, head)
             found = []
             for target in param.targets:
-                ids = self.filter_test(target, rest, op, value)
+                rows = self.filter_rows(self.store.resources(target), target, ("test", rest, op, value))
                 if inner:
-                    ids = ids.join(self.filter_ids(target, parse_filter(inner.rstrip("]"))), "id", "left_semi")
-                found.append(ids.select(F.lit(target).alias("target_type"), F.col("id").alias("target_id")))
+                    rows = self.filter_rows(rows, target, parse_filter(inner.rstrip("]")))
+                found.append(rows.select(F.lit(target).alias("target_type"), F.col("id").alias("target_id")))
             return self.store.index(kind, head).join(reduce(DataFrame.unionByName, found), ["target_type", "target_id"], "left_semi").select("id").distinct()
-        if path == "_id":
-            return all_ids.filter(F.col("id") == value)
         param = self.store.param(kind, path)
         rows = self.store.index(kind, path)
         if op == "pr":
             ids = rows.select("id").distinct()
             return ids if value == "true" else all_ids.join(ids, "id", "left_anti")
-        if param.kind == "string" and op in ("eq", "ne", "co", "sw", "ew"):
-            text, v = F.col("value_normalized"), F.lit(tx.normalize_text(value))
-            test = {"eq": text == v, "ne": text == v, "co": F.contains(text, v), "sw": F.startswith(text, v), "ew": F.endswith(text, v)}[op]
-            ids = rows.filter(test).select("id").distinct()
+        test = self.value_test(param, op, value)
+        if test is not None:
+            ids = rows.filter(test(F.col)).select("id").distinct()
             return all_ids.join(ids, "id", "left_anti") if op == "ne" else ids
-        if param.kind == "date" and op == "po":
-            low, high = search_range(value)
-            return rows.filter((F.col("start_date") < F.lit(high).cast("timestamp")) & (F.col("end_date") > F.lit(low).cast("timestamp"))).select("id").distinct()
-        return self.apply(all_ids, kind, self.as_condition(kind, path, op, value))
+        return self.apply(resources, kind, self.as_condition(kind, path, op, value)).select("id")
 
     def as_condition(self, kind: str, code: str, op: str, value: str) -> Condition:
         """A test as a condition of the URL form; the parameter's type comes from the catalogue."""
         param = self.store.param(kind, code)
-        if op in ("in", "ni", "ss", "sb"):
-            return Condition(code, {"in": "in", "ni": "not-in", "ss": "above", "sb": "below"}[op], (value,))
-        if param.kind in ("date", "number", "quantity"):
+        modifiers = {"in": "in", "ni": "not-in", "ss": "above", "sb": "below"}
+        if param.kind in ("date", "number", "quantity") and op in PREFIXES:
             return Condition(code, None, (op + value,))
-        if op == "ne":
+        if op in modifiers and modifiers[op] in MODIFIERS[param.kind]:
+            return Condition(code, modifiers[op], (value,))
+        if op == "eq" or op == "re" and param.kind == "reference":
+            return Condition(code, None, (value,))
+        if op == "ne" and param.kind == "token":
             return Condition(code, "not", (value,))
-        if op == "co":
-            return Condition(code, "contains" if param.kind in ("string", "uri") else "text", (value,))
-        return Condition(code, None, (value,))
+        if op == "co" and param.kind in ("string", "uri", "token"):
+            return Condition(code, "text" if param.kind == "token" else "contains", (value,))
+        if op == "sw" and param.kind == "string":
+            return Condition(code, None, (value,))
+        raise SearchError(f"operator {op} does not fit {code}")
 
     # requests
     def matches(self, request: Request | str, kind: str | None = None) -> DataFrame:
@@ -444,7 +592,7 @@ class Search:
         for c in sorted(r.conditions, key=rank):
             rows = self.apply(rows, kind, c)
         for f in r.filters:
-            rows = rows.join(self.filter_ids(kind, parse_filter(f)), "id", "left_semi")
+            rows = self.filter_rows(rows, kind, parse_filter(f))
         return rows
 
     def sort_keys(self, rows: DataFrame, kind: str, sort: list[tuple[str, bool]]) -> tuple[DataFrame, list[tuple[str, bool]]]:
@@ -459,8 +607,12 @@ class Search:
                 value = {"string": "value", "uri": "value", "number": "value", "quantity": "value", "date": "start_date", "token": "code", "reference": "target_id"}.get(param.kind)
                 if value is None:
                     raise SearchError(f"{code} cannot be sorted by")
-                least = self.store.index(kind, code).groupBy("id").agg(F.min(value).alias(name))
-                rows = rows.join(least, "id", "left")
+                if self.store.index_path or "resource" not in rows.columns:
+                    least = self.store.index(kind, code).groupBy("id").agg(F.min(value).alias(name))
+                    rows = rows.join(least, "id", "left")
+                else:
+                    array, of = _elements(param.kind, indexing.extract(rows, param), False)
+                    rows = rows.withColumn(name, F.array_min(F.transform(array, lambda x: of(x)(value))))
             keys.append((name, down))
         if not any(code == "_id" for code, _ in sort) and sort:
             rows = rows.withColumn("sort_id", F.col("id"))
@@ -558,10 +710,13 @@ class Search:
         found = []
         for code in rules:
             if code == "{def}":
-                found.append(rows.filter(F.col("id") == ident).select("id"))
+                found.append(F.col("id") == ident)
             else:
-                found.append(self.store.index(resource, code).filter((F.col("target_type") == kind) & (F.col("target_id") == ident)).select("id"))
-        return rows.join(reduce(DataFrame.unionByName, found), "id", "left_semi")
+                found.append(self.own(resource, Condition(code, None, (f"{kind}/{ident}",))))
+        if all(test is not None for test in found):
+            return rows.filter(_any(found))
+        index = [self.store.index(resource, c).filter((F.col("target_type") == kind) & (F.col("target_id") == ident)).select("id") if c != "{def}" else rows.filter(F.col("id") == ident).select("id") for c in rules]
+        return rows.join(reduce(DataFrame.unionByName, index), "id", "left_semi")
 
     def everything(self, ident: str, kind: str = "Patient", types: list[str] | None = None, since: str | None = None) -> DataFrame:
         """(resource_type, id) of a resource and its whole compartment."""

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkclin.fhirpath.compiler import NotCompilable, Typed, compile_expression
 from sparkclin.operators.indexing import parse_reference
@@ -188,14 +189,36 @@ def constraint_step(df: DataFrame, profile: Profile, best_practice: str = "warni
 
 
 def terminology_step(df: DataFrame, profile: Profile, expansions: dict[str, DataFrame]) -> DataFrame:
-    """Codes that the bound value set does not hold, by the strength of the binding."""
+    """Codes that the bound value set does not hold, by the strength of the binding.
+
+    Codings and concepts are compared with their system, where the value set names systems; a plain code by itself.
+    Of a concept one coding in the value set is enough.
+    """
     out = []
     for e in profile.elements:
         if e.binding is None:
             continue
         url, strength = e.binding
-        codes = df.select("id", F.explode(_at(df, e.path).array().column).alias("code"))
-        bad = codes.join(expansions[url].select("code").distinct(), "code", "left_anti")
+        v, members = _at(df, e.path).array(), expansions[url]
+        names = set(v.type.fieldNames()) if isinstance(v.type, T.StructType) else set()
+        null = F.lit(None).cast("string")
+
+        def coding(c: Column, of: set[str]) -> Column:
+            return F.struct((c.getField("system") if "system" in of else null).alias("system"), c.getField("code").alias("code"))
+
+        if "coding" in names:
+            inner = set(v.type["coding"].dataType.elementType.fieldNames())
+            items = F.transform(v.column, lambda x: F.transform(x.getField("coding"), lambda c: coding(c, inner)))
+        elif "code" in names:
+            items = F.transform(v.column, lambda x: F.array(coding(x, names)))
+        else:
+            items = F.transform(v.column, lambda x: F.array(F.struct(null.alias("system"), x.cast("string").alias("code"))))
+        items = df.select("id", F.posexplode(items).alias("item", "codings"))
+        codes = items.select("id", "item", F.explode_outer("codings").alias("c")).select("id", "item", "c.system", "c.code")
+        known = members.select(F.col("code").alias("__code"), (F.col("system") if "system" in members.columns else null).alias("__system"), F.lit(True).alias("__in")).distinct()
+        same = (F.col("code") == F.col("__code")) & (F.col("system").isNull() | F.col("__system").isNull() | (F.col("system") == F.col("__system")))
+        each = codes.join(known, same, "left").groupBy("id", "item").agg(F.coalesce(F.bool_or("__in"), F.lit(False)).alias("ok"), F.min("code").alias("code"))
+        bad = each.filter("NOT ok AND code IS NOT NULL")
         out.append(bad.select("id", F.lit(STRENGTH[strength]).alias("severity"), F.lit("code-invalid").alias("code"), F.lit(e.path).alias("path"), F.concat(F.lit("not in the value set: "), "code").alias("message")))
     return reduce(DataFrame.unionByName, out) if out else _issues(df, [])
 

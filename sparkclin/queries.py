@@ -89,6 +89,25 @@ fp("fp_date_arith", "Observation", f"SELECT {_OBS}, strftime(l_shipdate + INTERV
    month_on="effective + 1 month", days_back="effective - 10 days", late="effective + 1 year > @2000-01-01")
 
 
+_PART = "CAST(p_partkey AS VARCHAR) AS id"
+fp("fp_string_more", "Medication", f"""SELECT {_PART}, CASE WHEN contains(p_name, 'e') THEN length(p_name) - strpos(reverse(p_name), 'e') ELSE -1 END AS last_at, p_name AS low, array_to_string(string_split(p_name, ''), '|') AS chars, p_name AS trimmed, lower(hex(encode(p_name))) AS hex,
+   to_base64(encode(p_name)) AS b64, p_name AS back, p_name || '&lt;b&gt;' AS escaped, p_name || '<b>' AS unescaped, replace(p_name, ' ', '-') AS dashed, p_name || '-' || p_size AS glued FROM part""",
+   last_at="name.lastIndexOf('e')", low="name.upper().lower()", chars="name.toChars()", trimmed="('  ' & name & ' ').trim()", hex="name.encode('hex')",
+   b64="name.encode('base64')", back="name.encode('base64').decode('base64')", escaped="(name & '<b>').escape('html')", unescaped="(name & '&lt;b&gt;').unescape('html')", dashed="name.split(' ').join('-')", glued="name & '-' & size.toString()")
+fp("fp_collection_more", "Medication", f"""SELECT {_PART}, p_type = 'PROMO' OR p_brand = 'PROMO' AS holds, len(list_distinct(string_split(p_name, ''))) = length(p_name) AS all_differ, p_name AS one, p_brand || '|' || p_type || CASE WHEN p_type = 'PROMO' THEN '' ELSE '|PROMO' END AS united,
+   array_to_string(list_sort(string_split(p_name, '')), '|') AS sorted, array_to_string(string_split(p_name, '')[1:3], '|') AS head, contains(p_name, 'w') AS inside, contains(p_name, 'z') AS has, p_name AS traced, TRUE AS valued FROM part""",
+   holds="code.coding.code.supersetOf('PROMO')", all_differ="name.toChars().isDistinct()", one="name.single()", united="code.coding.code.union('PROMO')",
+   sorted="name.toChars().sort()", head="name.toChars().where($index < 3)", inside="'w' in name.toChars()", has="name.toChars() contains 'z'", traced="name.trace('x')", valued="name.hasValue()")
+fp("fp_math_more", "Medication", f"""SELECT {_PART}, round(exp(p_size / 10.0), 6) AS e, round(log10(p_retailprice), 6) AS l, CAST(p_size * 2 AS BIGINT) AS twice, CAST(-p_size AS BIGINT) AS minus, p_size <= 10 AS small, CASE WHEN p_size > 25 THEN 'big' ELSE 'little' END AS chosen,
+   TRUE AS alike, p_size <> 7 AS unlike, p_size IN (0, 1) AS flag, FALSE AS dec, TRUE AS str FROM part""",
+   e="(size / 10).exp().round(6)", l="price.log(10).round(6)", twice="size * 2", minus="-size", small="size <= 10", chosen="iif(size > 25, 'big', 'little')",
+   alike="name ~ name.upper()", unlike="size !~ 7", flag="size.toString().convertsToBoolean()", dec="name.convertsToDecimal()", str="size.convertsToString()")
+fp("fp_boolean_more", "Observation", f"SELECT {_OBS}, l_discount > 0.05 OR l_tax > 0.05 OR l_extendedprice > 0.05 AS some, l_extendedprice <= 50000 AND l_discount <= 50000 AND l_tax <= 50000 AS none FROM lineitem",
+   some="component.select(valueQuantity.value > 0.05).anyTrue()", none="component.select(valueQuantity.value > 50000).allFalse()")
+fp("fp_temporal_more", "Encounter", "SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS d, TRUE AS is_date, TRUE AS is_stamp, month(o_orderdate) <= 12 AS is_time, FALSE AS no_date FROM orders",
+   d="period.start.toDate()", is_date="period.start.toString().convertsToDate()", is_stamp="(period.start.toString() & 'T10:30:00Z').convertsToDateTime()", is_time="('10:' & period.start.toString().substring(5, 2)).convertsToTime()", no_date="status.convertsToDate()")
+
+
 @query("fp_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS high FROM events")
 def fp_json_props(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "events").select("event_id", F.from_json("props", "k bigint").alias("resource"))
@@ -179,9 +198,9 @@ def idx_stale(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.stale_entries(index, newest).groupBy("id").agg(F.count(F.lit(1)).alias("stale"))
 
 
-@query("text_normalize", "SELECT doc_id, regexp_replace(lower(strip_accents(substr(text, 1, 200))), '[^a-zß0-9]', '', 'g') AS folded FROM documents")
+@query("text_normalize", "SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-zß0-9]', '', 'g') AS folded FROM documents")
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", tx.normalize(F.substring("text", 1, 200)).alias("folded"))
+    return read(spark, sf, "documents").select("doc_id", tx.normalize(F.col("text")).alias("folded"))
 
 
 # search: each a request, and the SQL of its matches
@@ -214,6 +233,7 @@ find("s_date_ap", "Encounter?date=ap1997-06-15", f"{_O} WHERE CAST(o_orderdate A
 find("s_date_and", "Encounter?date=ge1997-03&date=lt1997-05-10", f"{_O} WHERE o_orderdate >= '1997-03-01' AND o_orderdate < '1997-05-10'")
 for _p, _t in {"eq": "c_acctbal >= 1999.5 AND c_acctbal < 2000.5", "ne": "c_acctbal < 1999.5 OR c_acctbal >= 2000.5", "gt": "c_acctbal >= 2000.5", "ge": "c_acctbal >= 1999.5", "lt": "c_acctbal < 1999.5", "le": "c_acctbal < 2000.5", "ap": "abs(c_acctbal - 2000) <= 200"}.items():
     find(f"s_number_{_p}", f"Patient?balance={_p}2000", f"{_C} WHERE {_t}")
+find("s_number_precision", "Patient?balance=2e3", f"{_C} WHERE c_acctbal >= 1500 AND c_acctbal < 2500")
 find("s_quantity_unit", "Observation?value-quantity=gt25|http://unitsofmeasure.org|mg", f"{_L} WHERE l_quantity >= 25.5")
 find("s_quantity_code_or_unit", "Observation?value-quantity=le10||mg", f"{_L} WHERE l_quantity < 10.5")
 find("s_ref_type_id", "Encounter?subject=Patient/7,Patient/9", f"{_O} WHERE o_custkey IN (7, 9)")
@@ -221,9 +241,9 @@ find("s_ref_id", "Encounter?subject=12", f"{_O} WHERE o_custkey = 12")
 find("s_ref_below", "Patient?location:below=Location/region-1", f"{_C} JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1", ("Patient", "Location"))
 find("s_ref_above", "Location?partof:above=Location/nation-3", "SELECT 'nation-3' AS id UNION ALL SELECT 'region-' || n_regionkey FROM nation WHERE n_nationkey = 3")
 find("s_ref_contains", "Patient?location:contains=Location/region-2", f"{_C} JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2", ("Patient", "Location"))
-find("s_uri_exact", "Composition?url=http://tionsh.example.net/fr/25930", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE url = 'http://tionsh.example.net/fr/25930'")
-find("s_uri_below", "Composition?url:below=http://tionsh.example.net", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE url = 'http://tionsh.example.net' OR starts_with(url, 'http://tionsh.example.net/')")
-find("s_uri_above", "Composition?url:above=http://tionsh.example.net/fr/25930/more", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE starts_with('http://tionsh.example.net/fr/25930/more', rtrim(url, '/') || '/') OR url = 'http://tionsh.example.net/fr/25930/more'")
+find("s_uri_exact", "Composition?url=https://thther.example.org/en/685", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE url = 'https://thther.example.org/en/685'")
+find("s_uri_below", "Composition?url:below=https://thther.example.org", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE url = 'https://thther.example.org' OR starts_with(url, 'https://thther.example.org/')")
+find("s_uri_above", "Composition?url:above=https://thther.example.org/en/685/more", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE starts_with('https://thther.example.org/en/685/more', rtrim(url, '/') || '/') OR url = 'https://thther.example.org/en/685/more'")
 find("s_uri_contains", "Composition?url:contains=EXAMPLE.ORG", "SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE contains(lower(url), 'example.org')")
 find("s_composite", "Observation?component-code-value=urn:component|price$gt90000", f"{_L} WHERE l_extendedprice >= 90000.5")
 find("s_missing", "Location?partof:missing=true", "SELECT 'region-' || r_regionkey AS id FROM region")
@@ -243,6 +263,29 @@ find("s_filter_chain", "Encounter?_filter=subject[balance gt 9000].segment eq BU
 find("s_filter_period", "Encounter?_filter=date po 1997-02 and status pr true", f"{_O} WHERE o_orderdate >= '1997-02-01' AND o_orderdate < '1997-03-01'")
 
 
+@query("s_ref_fragment", f"{_O} WHERE o_custkey % 7 = 3")
+def s_ref_fragment(spark: SparkSession, sf: str) -> DataFrame:
+    """References to contained resources, each of its own name."""
+    df = MAKERS["Encounter"](spark, sf)
+    name = F.concat(F.lit("#p"), F.col("resource.subject.reference").substr(9, 20).cast("long") % 7)
+    df = df.withColumn("resource", F.col("resource").withField("subject", F.struct(name.alias("reference"))))
+    return Search(Store({"Encounter": df})).matches("Encounter?subject=#p3").select("id")
+
+
+@query("s_string_any_script", "SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE starts_with(CAST(s_suppkey AS VARCHAR), '1')")
+def s_string_any_script(spark: SparkSession, sf: str) -> DataFrame:
+    """Names beyond Latin letters, folded like the query: accents, capitals and ligatures make no difference."""
+    df = MAKERS["Organization"](spark, sf)
+    df = df.withColumn("resource", F.col("resource").withField("name", F.concat(F.lit("Φάκελος ﬁ "), F.col("id"))))
+    return Search(Store({"Organization": df})).matches("Organization?name=ΦΑΚΕΛΟΣ FI 1").select("id")
+
+
+find("s_composite_unit", "Observation?component-code-value=urn:component|price$gt90000||1,urn:component|price$gt1||g", f"{_L} WHERE l_extendedprice >= 90000.5")
+find("s_composite_no_system", "Observation?component-code-value=PRICE$gt90000,|price$gt1", f"{_L} WHERE l_extendedprice >= 90000.5")
+find("s_filter_number", "Patient?_filter=balance gt 9000 or balance lt -500 and segment ne urn:segment|BUILDING", f"{_C} WHERE c_acctbal >= 9000.5 OR (c_acctbal < -500.5 AND c_mktsegment <> 'BUILDING')")
+find("s_filter_has", "Patient?_filter=_has:Encounter:subject:total gt 400000", f"{_C} WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 400000.5)", ("Patient", "Encounter"))
+
+
 def _documents(spark: SparkSession, sf: str) -> Search:
     store = Store.from_tables(spark, sf, "DocumentReference", "Group")
     store.members = indexing.memberships(store.frames["Group"])
@@ -589,6 +632,14 @@ def v_binding(spark: SparkSession, sf: str) -> DataFrame:
     return issues.filter("code = 'code-invalid'").select("id", "severity", "message")
 
 
+@query("v_binding_system", "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment <> 'FURNITURE'")
+def v_binding_system(spark: SparkSession, sf: str) -> DataFrame:
+    """A code of another system is not in the value set, whatever its name."""
+    codes = spark.createDataFrame([("urn:other", "BUILDING"), ("urn:segment", "FURNITURE")], "system string, code string")
+    profile = Profile(elements=[Element("segment.coding", 1, binding=("segments", "required"))])
+    return validate(MAKERS["Patient"](spark, sf), profile, "server", {"segments": codes}).filter("code = 'code-invalid'").select("id")
+
+
 @query("v_references", f"SELECT {_OBS}, 'unknown: Encounter/' || l_orderkey AS message FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def v_references(spark: SparkSession, sf: str) -> DataFrame:
     targets = MAKERS["Encounter"](spark, sf).filter("resource.status = 'F'").select("resource_type", "id")
@@ -611,14 +662,14 @@ def st_file_stream_index(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     from sparkclin.operators.hierarchy import _shared
-    from sparkclin.streaming.index_stream import maintain, read_stream
+    from sparkclin.streaming.index_stream import maintain, read_index, read_stream
 
     folder = f"{_shared(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = MAKERS["Patient"](spark, sf)
     source.write.parquet(f"{folder}/in")
     stream = read_stream(spark, f"{folder}/in", source.schema)
     maintain(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/index/token").filter("parameter_name = 'segment'").select("id", "code")
+    return read_index(spark, f"{folder}/out", "token").filter("parameter_name = 'segment'").select("id", "code")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

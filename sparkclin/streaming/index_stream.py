@@ -1,11 +1,15 @@
 """Incremental maintenance of the version table and its indexes from a stream of resources.
 
-Batches are idempotent: a version is known by (resource_type, id, version_id), so a batch that is run again adds
-nothing. The windowed activity query is an extension of this engine.
+Each micro-batch writes folders of its own, named by the query's checkpoint and the batch's number, and then an empty file
+that commits it; readers look at committed batches alone. A batch that failed midway and is run again overwrites what it
+had written, one that is run again after its commit is passed over, and a version that another batch has brought, known
+by (resource_type, id, version_id), adds nothing. The windowed activity query is an extension of this engine.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,29 +26,69 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(conf).exists(target):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def committed(spark: SparkSession, out: str) -> list[str]:
+    """The names of the batches whose commit file exists."""
+    fs, folder = _path(spark, f"{out}/commits")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _commit(spark: SparkSession, out: str, batch: str) -> None:
+    fs, file = _path(spark, f"{out}/commits/{batch}")
+    fs.create(file, True).close()
+
+
+def _read(spark: SparkSession, base: str, batches: list[str], schema: T.StructType | None = None) -> DataFrame | None:
+    paths = [p for b in batches if (at := _path(spark, p := f"{base}/batch={b}"))[0].exists(at[1])]
+    reader = spark.read.option("basePath", base)
+    return (reader.schema(schema) if schema is not None else reader).parquet(*paths) if paths else None
+
+
+def read_versions(spark: SparkSession, out: str) -> DataFrame | None:
+    """The version table as far as it is committed; null before the first commit."""
+    return _read(spark, f"{out}/versions", committed(spark, out))
+
+
+def read_index(spark: SparkSession, out: str, kind: str) -> DataFrame | None:
+    """The committed index rows of a kind, or of composite-code; null where there are none."""
+    return _read(spark, f"{out}/index/{kind}", committed(spark, out))
+
+
+def write_batch(df: DataFrame, out: str, batch: str, catalog: Catalog) -> None:
+    """Writes the versions of ``df`` that no committed batch holds, and their index rows, and commits them."""
+    spark = df.sparkSession
+    done = committed(spark, out)
+    if batch in done:
+        return
+    rows = df.dropDuplicates(KEYS).persist()
+    kinds = [r.resource_type for r in rows.select("resource_type").distinct().collect()]
+    # versions lie in a folder for each type, so only the keys of the batch's types are read
+    schema = T.StructType([*(f for f in df.schema.fields if f.name in KEYS), T.StructField("batch", T.StringType())])
+    known = _read(spark, f"{out}/versions", done, schema)
+    fresh = rows if known is None else rows.join(known.filter(F.col("resource_type").isin(kinds)).select(*KEYS), KEYS, "left_anti")
+    fresh = fresh.persist()
+    for kind in kinds:
+        own = fresh.filter(F.col("resource_type") == kind)
+        for name, index in indexing.index_all(own, catalog.of_type(kind)).items():
+            folder = f"{out}/index/{name.replace(':', '-')}/batch={batch}/resource_type={kind}"
+            index.drop("resource_type").write.mode("overwrite").partitionBy("parameter_name").parquet(folder)
+    fresh.write.mode("overwrite").partitionBy("resource_type").parquet(f"{out}/versions/batch={batch}")
+    _commit(spark, out, batch)
+    fresh.unpersist()
+    rows.unpersist()
 
 
 def maintain(stream: DataFrame, out: str, checkpoint: str, catalog: Catalog | None = None) -> StreamingQuery:
-    """Appends new versions of each micro-batch to ``out``/versions and their index rows to ``out``/index/kind."""
+    """Adds new versions of each micro-batch to ``out``/versions and their index rows to ``out``/index/kind."""
     catalog = catalog or Catalog.default()
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        rows = df.dropDuplicates(KEYS)
-        known = _existing(spark, f"{out}/versions", df.schema).select(*KEYS)
-        fresh = rows.join(known, KEYS, "left_anti").persist()
-        for (kind,) in fresh.select("resource_type").distinct().collect():
-            own = fresh.filter(F.col("resource_type") == kind)
-            for name, index in indexing.index_all(own, catalog.of_type(kind)).items():
-                index.write.mode("append").partitionBy("resource_type", "parameter_name").parquet(f"{out}/index/{name.replace(':', '-')}")
-        fresh.write.mode("append").parquet(f"{out}/versions")
-        fresh.unpersist()
+        write_batch(df, out, f"{query}-{epoch}", catalog)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

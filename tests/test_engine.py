@@ -190,20 +190,97 @@ def test_formats(spark, tmp_path):
 
 
 def test_stream_is_idempotent(spark, sf, tmp_path):
-    from sparkclin.streaming.index_stream import activity, maintain, read_stream
+    from sparkclin.streaming.index_stream import activity, maintain, read_index, read_stream, read_versions
 
-    source = Store.from_tables(spark, sf, "Location").resources("Location")
-    for k in (1, 2):  # the same versions arrive twice
+    source, out = Store.from_tables(spark, sf, "Location").resources("Location"), str(tmp_path / "out")
+    for k in (1, 2, 3):  # the same versions arrive again, at last to a query without a checkpoint
         source.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        maintain(read_stream(spark, str(tmp_path / "in"), source.schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/versions")).count() == source.count()
-    assert spark.read.parquet(str(tmp_path / "out/index/reference")).count() == 25
+        maintain(read_stream(spark, str(tmp_path / "in"), source.schema), out, str(tmp_path / f"cp{k // 3}")).awaitTermination()
+    assert read_versions(spark, out).count() == source.count() == 30
+    assert read_index(spark, out, "reference").count() == 25
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double").parquet(f"{sf}/events.parque[t]")
     q = activity(events).writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM activity").first().n == 1000
 
 
+def test_stream_survives_a_failure_between_writes(spark, sf, tmp_path, monkeypatch):
+    from sparkclin.streaming import index_stream
+
+    rows, out = Store.from_tables(spark, sf, "Location").resources("Location"), str(tmp_path / "out")
+
+    def fail(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:  # everything is written but the commit
+        m.setattr(index_stream, "_commit", fail)
+        with pytest.raises(RuntimeError):
+            index_stream.write_batch(rows, out, "q-0", Catalog.default())
+    assert index_stream.read_versions(spark, out) is None and index_stream.read_index(spark, out, "reference") is None
+    for _ in range(2):  # run again, and once more after the commit
+        index_stream.write_batch(rows, out, "q-0", Catalog.default())
+    index_stream.write_batch(rows.limit(3), out, "q-1", Catalog.default())
+    assert index_stream.read_versions(spark, out).count() == 30 and index_stream.read_index(spark, out, "reference").count() == 25
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conditions_on_own_values_are_filters(spark, sf):
+    s = Search(Store.from_tables(spark, sf))
+    for url in ("Encounter?status=F,P", "Encounter?date=ge1997-03&date=lt1997-05-10", "Encounter?_lastUpdated=ge2000-01-01", "Observation?component-code-value=urn:component|price$gt90000", "Patient?balance=gt5", "Location?partof:missing=true",
+                "Encounter?_filter=(status eq F and total gt 200000) or not (priority eq 5-LOW)", "Patient?name:contains=a&_id=1"):
+        plan = plan_of(s.matches(url))
+        assert "Exchange" not in plan and "Join" not in plan, url
+    assert plan_of(s.matches("Observation?encounter.subject.segment=FURNITURE&value-quantity=lt3")).count("lineitem.parquet") == 1
+
+
+def test_search_values(spark):
+    from sparkclin.plans.catalog import SearchParam
+
+    kind = "a array<struct<code:struct<coding:array<struct<system:string,code:string>>>,q:struct<value:double,system:string,code:string>,r:struct<reference:string>,u:string,s:string>>, r array<struct<reference:string,display:string>>, s array<string>"
+    rows = [
+        ("1", '{"r":[{"reference":"#a"}],"s":["Ώμέγα"],"a":[{"code":{"coding":[{"system":"S","code":"k"}]},"q":{"value":5,"system":"http://unitsofmeasure.org","code":"mg"},"r":{"reference":"Tx/1"},"u":"http://x/y","s":"Éa"}]}'),
+        ("2", '{"r":[{"reference":"#b","display":"Doctor Who"}],"s":["ﬁsh"],"a":[{"code":{"coding":[{"code":"k"}]},"q":{"value":5,"system":"http://unitsofmeasure.org","code":"g"},"r":{"reference":"Ux/1"},"u":"http://x/z","s":"b"}]}'),
+        ("3", '{"r":[{"reference":"http://c|1.10"},{"reference":"a"}],"s":["cat"],"a":null}'),
+        ("4", '{"r":[{"reference":"http://c|1.9"}],"s":["dog"]}'),
+    ]
+    df = spark.createDataFrame(rows, "id string, j string").select(F.lit("P").alias("resource_type"), "id", F.lit(1).cast("long").alias("version_id"), F.lit("2020-01-01").cast("timestamp").alias("last_updated"), F.from_json("j", kind).alias("resource"))
+    c = Catalog({})
+    for p in (SearchParam("r", "P", "reference", "r"), SearchParam("s", "P", "string", "s"), SearchParam("cq", "P", "composite", "a", (), (("c", "code", "token"), ("q", "q", "quantity"))), SearchParam("cr", "P", "composite", "a", (), (("c", "code", "token"), ("r", "r", "reference"))), SearchParam("su", "P", "composite", "a", (), (("s", "s", "string"), ("u", "u", "uri")))):
+        c.add(p)
+    s = Search(Store({"P": df}, c))
+    want = {
+        "r=%23a": "1", "r=a": "3", "r:text=doctor": "2", "r:text-advanced=who": "2", "r:code-text=B": "2", "r:above=http://c|1.10": "3", "r:below=http://c|1.9": "4", "r=http://c|1": "34", "s=ΩΜΕΓΑ": "1", "s:contains=FI": "2", "s=fish": "2",
+        "cq=S|k$5": "1", "cq=|k$5": "2", "cq=K$5": "12", "cq=k$5|http://unitsofmeasure.org|mg": "1", "cq=k$5||g": "2", "cr=k$Tx/1": "1", "cr=k$1": "12", "su=EA$http://x/y": "1", "su=e$http://x": "",
+        "_filter=s eq fish or s ew g": "24", "_filter=not (s co at) and r pr true": "124",
+    }
+    for url, ids in want.items():
+        assert "".join(sorted(r.id for r in s.matches(f"P?{url}").collect())) == ids, url
+    for bad in ("name gt ca", "s gt ca", "s re ca", "r co x", "s in v", "_id gt 3"):
+        with pytest.raises(SearchError):
+            s.matches(f"P?_filter={bad}")
+    with pytest.raises(SearchError):
+        s.matches("P?r:exact=x")
+
+
+def test_composites_of_many_tuples(spark):
+    from sparkclin.plans.catalog import SearchParam
+
+    df = spark.range(1).select(F.lit("P").alias("resource_type"), F.lit("1").alias("id"), F.lit(1).cast("long").alias("version_id"), F.struct(F.array(F.struct(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda x: x.cast("double")).alias("x"), F.transform(F.sequence(F.lit(1), F.lit(50)), lambda x: x.cast("double")).alias("y"))).alias("g")).alias("resource"))
+    assert indexing.shred(df, [SearchParam("c", "P", "composite", "g", (), (("x", "x", "number"), ("y", "y", "number")))]).count() == 3000
+
+
+def test_content_of_all_text(spark):
+    kind = "text struct<status:string,div:string>, code struct<text:string,coding:array<struct<system:string,code:string,display:string>>>, name array<struct<family:string,given:array<string>>>, telecom array<struct<system:string,value:string>>, note array<struct<text:string>>, description string"
+    j = '{"text":{"status":"x","div":"<p>Told</p>"},"code":{"text":"Pain","coding":[{"system":"u","code":"c9","display":"Ache"}]},"name":[{"family":"Doe","given":["Al",null]}],"telecom":[{"system":"phone","value":"555"}],"note":[{"text":"see"},{"text":"see"}],"description":"own"}'
+    df = spark.createDataFrame([("1", j), ("2", "{}")], "id string, j string").select(F.lit("P").alias("resource_type"), "id", F.lit(1).cast("long").alias("version_id"), F.from_json("j", kind).alias("resource"))
+    got = {r.id: r.content for r in indexing.content_text(df).collect()}
+    assert got == {"1": "Told Pain Ache Doe Al 555 see own", "2": ""}
+    assert [r.content for r in indexing.narrative_text(df).collect()] == ["Told"]
+
+
 def test_catalog():
     c = Catalog.default()
     v = c.version()
