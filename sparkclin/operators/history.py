@@ -12,8 +12,9 @@ KEY = ("resource_type", "id")
 
 
 def _newest(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*KEY).orderBy(F.col("version_id").desc())
-    return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    """The row of the highest version of each resource; each task keeps one row a resource before the shuffle."""
+    found = rows.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in KEY]), "version_id").alias("__v"))
+    return found.select(*[c if c in KEY else F.col(f"__v.{c}").alias(c) for c in rows.columns])
 
 
 def _deleted(rows: DataFrame) -> Column:

@@ -101,7 +101,7 @@ fp("fp_collection_more", "Medication", f"""SELECT {_PART}, p_type = 'PROMO' OR p
 fp("fp_math_more", "Medication", f"""SELECT {_PART}, round(exp(p_size / 10.0), 6) AS e, round(log10(p_retailprice), 6) AS l, CAST(p_size * 2 AS BIGINT) AS twice, CAST(-p_size AS BIGINT) AS minus, p_size <= 10 AS small, CASE WHEN p_size > 25 THEN 'big' ELSE 'little' END AS chosen,
    TRUE AS alike, p_size <> 7 AS unlike, p_size IN (0, 1) AS flag, FALSE AS dec, TRUE AS str FROM part""",
    e="(size / 10).exp().round(6)", l="price.log(10).round(6)", twice="size * 2", minus="-size", small="size <= 10", chosen="iif(size > 25, 'big', 'little')",
-   alike="name ~ name.upper()", unlike="size !~ 7", flag="size.toString().convertsToBoolean()", dec="name.convertsToDecimal()", str="size.convertsToString()")
+   alike="name ~ name.upper()", unlike="size !~ 7", flag="size.convertsToBoolean()", dec="name.convertsToDecimal()", str="size.convertsToString()")
 fp("fp_boolean_more", "Observation", f"SELECT {_OBS}, l_discount > 0.05 OR l_tax > 0.05 OR l_extendedprice > 0.05 AS some, l_extendedprice <= 50000 AND l_discount <= 50000 AND l_tax <= 50000 AS none FROM lineitem",
    some="component.select(valueQuantity.value > 0.05).anyTrue()", none="component.select(valueQuantity.value > 50000).allFalse()")
 fp("fp_temporal_more", "Encounter", "SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS d, TRUE AS is_date, TRUE AS is_stamp, month(o_orderdate) <= 12 AS is_time, FALSE AS no_date FROM orders",
