@@ -51,7 +51,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, digest, payload_bytes, record_id, refers_to (record id of the response; null for responses).
 
     Of rows with equal payloads of ``least_bytes`` or more that with the largest page_id is the response (rows that
-    repeat this page_id too); the payload's SHA-1 and length stand for it.
+    repeat this page_id too); the payload's SHA-1 and length stand for it. Rows equal in page_id, url and payload are
+    the same record written again, and share its id.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -59,8 +60,9 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         F.coalesce(F.col("html"), F.lit("")).alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # unique also where page ids repeat; files are read in the same parts when a task is run again
-    rows = rows.withColumn("record_id", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">")))
+    # from the row's own values, so that any plan and any retry names a record alike
+    name = F.md5(F.concat_ws(" ", F.col("digest"), F.col("url")))
+    rows = rows.withColumn("record_id", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), name, F.lit(">")))
     large = rows.filter(F.col("payload_bytes") >= least_bytes)
     kept = large.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("k"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = kept.select(fresh_key("digest").alias("digest"), F.col("k.page_id").alias("kept_id"), F.col("k.record_id").alias("kept_record"))
@@ -179,11 +181,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(found: DataFrame) -> DataFrame:
     """One row for each original record: segments grouped by origin, in order, with ``complete`` (boolean).
 
-    Records that are no segments pass without a shuffle. A group is as large as one page at most.
+    Records that are no segments pass without a shuffle. A group is as large as one page at most: a record that was
+    written several times keeps each segment once, and gives as many rows as it has first segments.
     """
     whole = found.filter("segment = 0").select("origin", "record_type", "refers_to", "digest", "block", F.lit(True).alias("complete"))
     parts = found.filter("segment > 0").groupBy("origin").agg(
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
+        F.array_distinct(F.sort_array(F.collect_set(F.struct("segment", "block")))).alias("parts"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("segment") == 1).alias("copies"),
         F.max("total").alias("total"),
         F.max("record_type").alias("record_type"),
         F.max("refers_to").alias("refers_to"),
@@ -192,8 +197,11 @@ def reassemble(found: DataFrame) -> DataFrame:
     joined = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"]))
     parts = parts.withColumn("block", joined).withColumn("numbers", F.transform("parts", lambda p: p["segment"]))
     in_order = F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))
-    complete = F.coalesce(in_order & (F.octet_length("block") == F.col("total")), F.lit(False))
-    return whole.unionByName(parts.select("origin", "record_type", "refers_to", "digest", "block", complete.alias("complete")))
+    every = F.col("n") == F.col("copies") * F.size("parts")
+    complete = F.coalesce(in_order & every & (F.octet_length("block") == F.col("total")), F.lit(False))
+    rows = F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies").cast("int"), F.lit(1)))).alias("row")
+    parts = parts.select("origin", "record_type", "refers_to", "digest", "block", complete.alias("complete"), rows).drop("row")
+    return whole.unionByName(parts)
 
 
 def decode_chunked(body: bytes) -> bytes:
