@@ -12,11 +12,13 @@ wherever it occurs. The suffixes of a corpus fit no machine, so they are dealt o
    groups processed in descending order by previous-smaller pointers, then each group's order is emitted from the
    smallest suffix on, without renaming and recursion. Neighbours that share all whole blocks of a window form runs;
    the few bytes at both ends that whole blocks leave open are compared exactly.
+   The contexts of an anchor that occurs very often do not meet: their windows are counted one by one, by a digest.
 4. The repeated windows go back to all documents that hold the context, are united to maximal runs, and cut out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from sparkclin.llm.common import arrow_map, fresh_key_long, written
 
 GRAM, BLOCK = 40, 32
+#: Contexts of one anchor up to which they are held together in a task.
+HOT = 20_000
 #: Bytes whose contexts are found at a time; longer texts are taken in pieces that overlap by a window.
 PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15
@@ -272,7 +276,9 @@ def repeated_windows(parts: list[bytes], offsets: list[int], weights: list[int],
         for lo, size in ((0, d), (d + middle, length - d - middle)):  # equal hashes are held against the bytes
             view = sliding_window_view(data, max(1, size))
             if size and not all((view[s[k : k + 50_000] + lo] == view[first[k : k + 50_000] + lo]).all() for k in range(0, len(s), 50_000)):
-                raise ValueError("two windows share a hash; choose another base")
+                seen: dict[bytes, int] = {}  # unequal windows share a hash: go by the bytes alone
+                group = np.array([seen.setdefault(data[x : x + length].tobytes(), len(seen)) for x in s.tolist()])
+                break
         twice = np.bincount(group, w[o])[group] >= 2
         found.append(np.stack([o[twice], s[twice] - begin[o[twice]]], 1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -336,26 +342,23 @@ def _context_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return arrow_map(rows.select("key", "text"), run, "key binary, anchor bigint, context bigint, a int, shape int, more array<int>")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", symbols: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", symbols: int = 200_000, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left) of each row of ``docs``.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross texts. A byte goes if a string of ``length`` bytes
     covers it that also starts anywhere else, in the same text or in another row, as the input has them. Rows that
     repeat an id and text are copies of each other, so of ``length`` bytes or more they are removed whole; shorter texts stay. An
-    empty table gives an empty one; other columns are left out. Contexts of one anchor that differ meet in one task.
+    empty table gives an empty one; other columns are left out. Contexts of one anchor that differ meet in one task, but for anchors
+    that occur more than ``hot`` times.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     found = _context_rows(rows.filter(F.octet_length("text") >= length), length, gram)
     times = F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
-    often = found.withColumn("n", F.sum(times).over(Window.partitionBy("anchor"))).filter("n > 1").drop("n")
-    candidates = written(often)
-    groups = candidates.groupBy("anchor", "context").agg(F.sum(times).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
-    wanted = groups.select(F.col("r.key").alias("key"), F.struct("anchor", "context", "weight", F.col("r.a").alias("a"), F.col("r.shape").alias("shape")).alias("part"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("part").alias("parts"))
+    often = found.withColumn("n", F.sum(times).over(Window.partitionBy("anchor"))).filter("n > 1")
+    candidates = written(often.withColumn("hot", F.col("n") > hot).drop("n"))
     # the same exchange of the texts by key serves here and for the result
     dealt = rows.select("key", "doc_id", "text")
-    one = dealt.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("parts").alias("parts"), F.min("doc_id").alias("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -370,7 +373,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["anchor", "context", "weight", "offset", "bytes"])
 
-    pieces = arrow_map(one.select("text", "parts", "doc_id"), cut, "anchor bigint, context bigint, weight bigint, offset int, bytes binary")
+    def pieces(of: DataFrame) -> DataFrame:
+        """anchor, context, weight, offset and bytes of each different context, cut from one text that holds it."""
+        groups = of.groupBy("anchor", "context").agg(F.sum(times).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
+        wanted = groups.select(F.col("r.key").alias("key"), F.struct("anchor", "context", "weight", F.col("r.a").alias("a"), F.col("r.shape").alias("shape")).alias("part"))
+        wanted = wanted.groupBy("key").agg(F.collect_list("part").alias("parts"))
+        one = dealt.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("parts").alias("parts"), F.min("doc_id").alias("doc_id"))
+        return arrow_map(one.select("text", "parts", "doc_id"), cut, "anchor bigint, context bigint, weight bigint, offset int, bytes binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -395,8 +404,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
         if held:
             yield done()
 
-    sorted_pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "context")
+    sorted_pieces = pieces(candidates.filter("NOT hot")).repartition("anchor").sortWithinPartitions("anchor", "context")
     repeats = arrow_map(sorted_pieces, search, "anchor bigint, context bigint, windows array<struct<lo:int,hi:int>>")
+    if not candidates.filter("hot").isEmpty():
+        repeats = repeats.unionByName(_repeats_one_by_one(pieces(candidates.filter("hot")), length))
     again = repeats.select(fresh_key_long("anchor").alias("anchor"), "context", "windows")
     places = candidates.withColumn("a", F.explode(F.concat(F.array("a"), F.coalesce("more", F.array().cast("array<int>")))))
     back = places.join(again, ["anchor", "context"]).select("key", F.explode("windows").alias("w"), "a").select("key", (F.col("a") + F.col("w.lo")).alias("lo"), (F.col("a") + F.col("w.hi")).alias("hi"))
@@ -424,6 +435,31 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
     return arrow_map(final, keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
+def _repeats_one_by_one(pieces: DataFrame, length: int) -> DataFrame:
+    """anchor, context and windows (runs of repeated ones), for anchors of any frequency.
+
+    Each window is a row with its digest, and digests are counted by a partial aggregate, so no task holds the contexts
+    of an anchor, and a window that is repeated very often is a single row of each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                raw = batch.column("bytes").to_pylist()
+                which = np.repeat(np.arange(len(raw)), [len(r) - length + 1 for r in raw])
+                numbers = [j for r in raw for j in range(len(r) - length + 1)]
+                digests = [hashlib.md5(r[j : j + length]).digest() for r in raw for j in range(len(r) - length + 1)]
+                same = [batch.column(c).take(pa.array(which)) for c in ("anchor", "context", "weight")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "weight", "number", "window"])
+
+    windows = arrow_map(pieces.select("anchor", "context", "weight", "bytes"), run, "anchor bigint, context bigint, weight bigint, number int, window binary")
+    twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select(F.concat("window", F.lit(b"")).alias("window"))
+    found = windows.join(twice, "window", "left_semi").groupBy("anchor", "context").agg(F.sort_array(F.collect_set("number")).alias("at"))
+    found = found.withColumn("lo", F.array_except("at", F.transform("at", lambda x: x + 1))).withColumn("hi", F.array_except("at", F.transform("at", lambda x: x - 1)))
+    return found.select("anchor", "context", F.arrays_zip("lo", "hi").alias("windows"))
+
+
 def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of consecutive numbers."""
     s = np.unique(starts)

@@ -282,7 +282,7 @@ def test_cascade_order_and_verdict(spark, corpus):
 def test_warc(spark, sf, tmp_path):
     big = "<p>é日本</p>\r\n\r\nWARC/1.0\r\n" * 9000
     same = "y" * 1000
-    rows = [(1, "http://a", "x"), (2, None, None), (3, "u\r\nv", ""), (4, "d", same), (5, "e", same), (5, "e", same), (6, "f", "z" * 999), (7, "g", "z" * 999), (8, "h", big), (9, "i", big), (None, "n", same), (10, "k", "é" * 500)]
+    rows = [(1, "http://a", "x"), (2, None, None), (3, "u\r\nv", ""), (4, "d", same), (5, "e", same), (5, "e", same), (6, "f", "z" * 999), (7, "g", "z" * 999), (8, "h", big), (9, "i", big), (9, "i", big), (None, "n", same), (10, "k", "é" * 500)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit(1))
     warc_archive.write_archives(pages, str(tmp_path / "w"), chunk=1000, segment=5000)
     got = warc_archive.read_pages(spark, str(tmp_path / "w")).collect()
@@ -297,6 +297,9 @@ def test_warc(spark, sf, tmp_path):
     assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(4, 5), (8, 9), (None, 5)}
     kinds = Counter(x["segment"] for f in os.listdir(tmp_path / "w") if f.endswith(".gz") for x in warc_archive.parse_archive((tmp_path / "w" / f).read_bytes()))
     assert kinds[2] > 0
+    # records are named by what they hold, however the rows are dealt out
+    names = [sorted((r.record_id, r.refers_to or "") for r in warc_archive.plan_records(p).collect()) for p in (pages, pages.repartition(3, "html"))]
+    assert names[0] == names[1] and {n for _, n in names[0] if n} <= {n for n, _ in names[0]}
     warc_archive.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc_archive.read_pages(spark, str(tmp_path / "none")).count() == 0
 
@@ -596,9 +599,24 @@ def test_repeats(spark, corpus, empty):
     want = dict(zip([i for i, _ in rows], cut([(t or "").encode() for _, t in rows], 200)))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
     assert got == want
+    for hot in (2, 4):  # anchors that occur more often are counted window by window
+        again = suffix_dedup.remove_repeats(frame(spark, rows), hot=hot)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in again.collect()} == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_windows_that_share_a_hash(monkeypatch):
+    rng = random.Random(9)
+    core = bytes(rng.choice(b"abcd") for _ in range(260))
+    parts = [bytes(rng.choice(b"ab") for _ in range(n)) + core + bytes(rng.choice(b"ab") for _ in range(60)) for n in (20, 20, 52, 52)]
+    args = parts, [len(p) - 200 for p in parts], [1, 1, 1, 2], 200
+    want = sorted(map(tuple, suffix_dedup.repeated_windows(*args).tolist()))
+    seen = Counter(p[i : i + 200] for p, w in zip(parts, args[2]) for i in range(len(p) - 199) for _ in range(w))
+    assert want == sorted((k, i) for k, p in enumerate(parts) for i in range(len(p) - 199) if seen[p[i : i + 200]] > 1)
+    monkeypatch.setattr(suffix_dedup.Hashes, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+    assert sorted(map(tuple, suffix_dedup.repeated_windows(*args).tolist())) == want
+
+
 def test_repeats_of_odd_rows(spark, odd):
     want = cut([(t or "").encode() for _, t in ODD], 200)
     got = suffix_dedup.remove_repeats(odd).collect()
