@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkclin.llm.common import arrow_map, fresh_key_long, written
 
 GRAM, BLOCK = 40, 32
-#: Contexts of one anchor up to which they are held together in a task.
+#: Different contexts of one anchor, as estimated, up to which they are held together in a task: about 200,000 symbols.
 HOT = 20_000
 #: Bytes whose contexts are found at a time; longer texts are taken in pieces that overlap by a window.
 PIECE = 1 << 20
@@ -349,18 +349,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
     covers it that also starts anywhere else, in the same text or in another row, as the input has them. Rows that
     repeat an id and text are copies of each other, so of ``length`` bytes or more they are removed whole; shorter texts stay. An
     empty table gives an empty one; other columns are left out. Contexts of one anchor that differ meet in one task, but for anchors
-    that occur more than ``hot`` times.
+    of more than about ``hot`` contexts.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     found = _context_rows(rows.filter(F.octet_length("text") >= length), length, gram)
     times = F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
-    often = found.withColumn("n", F.sum(times).over(Window.partitionBy("anchor"))).filter("n > 1")
-    candidates = written(often.withColumn("hot", F.col("n") > hot).drop("n"))
+    of_anchor = Window.partitionBy("anchor")
+    often = found.withColumn("n", F.sum(times).over(of_anchor)).withColumn("least", F.min("context").over(of_anchor)).withColumn("most", F.max("context").over(of_anchor))
+    # of d different hashes the least and the greatest lie about one d-th of the range from its ends
+    low = min(-(1 << 63) + (1 << 64) // hot, (1 << 63) - 1)
+    many = (F.col("n") > hot) & (F.col("least") <= low) & (F.col("most") >= -low - 1)
+    candidates = written(often.filter("n > 1").withColumn("hot", many).drop("n", "least", "most"))
     # the same exchange of the texts by key serves here and for the result
     dealt = rows.select("key", "doc_id", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        """Anchors, contexts, weights, offsets and bytes of the contexts of a few texts at a time."""
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
@@ -371,15 +376,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
                         a, last, offset = q["a"], q["shape"] >> 16, q["shape"] & 0xFFFF
                         for column, v in zip(out, (q["anchor"], q["context"], min(q["weight"], 2), offset, raw[a : a + last + length])):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["anchor", "context", "weight", "offset", "bytes"])
+                yield out
 
-    def pieces(of: DataFrame) -> DataFrame:
-        """anchor, context, weight, offset and bytes of each different context, cut from one text that holds it."""
-        groups = of.groupBy("anchor", "context").agg(F.sum(times).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in lots(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["anchor", "context", "weight", "offset", "bytes"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in lots(batches):
+            for at in range(0, len(out[0]), 128):
+                anchor, context, weight, _, raw = (c[at : at + 128] for c in out)
+                times = [len(r) - length + 1 for r in raw]
+                digests = [hashlib.md5(r[j : j + length]).digest() for r, n in zip(raw, times) for j in range(n)]
+                same = [pa.array(np.repeat(np.array(c, np.int64), times)) for c in (anchor, context, weight)]
+                number = pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in times]))
+                yield pa.RecordBatch.from_arrays([*same, number, pa.array(digests, pa.binary())], ["anchor", "context", "weight", "number", "window"])
+
+    def cut_from_texts(contexts: DataFrame, function, schema: str) -> DataFrame:
+        """``function`` over the texts, each different context being a part of one text that holds it."""
+        groups = contexts.groupBy("anchor", "context").agg(F.sum(times).alias("weight"), F.min(F.struct("key", "a", "shape")).alias("r"))
         wanted = groups.select(F.col("r.key").alias("key"), F.struct("anchor", "context", "weight", F.col("r.a").alias("a"), F.col("r.shape").alias("shape")).alias("part"))
         wanted = wanted.groupBy("key").agg(F.collect_list("part").alias("parts"))
         one = dealt.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("parts").alias("parts"), F.min("doc_id").alias("doc_id"))
-        return arrow_map(one.select("text", "parts", "doc_id"), cut, "anchor bigint, context bigint, weight bigint, offset int, bytes binary")
+        return arrow_map(one.select("text", "parts", "doc_id"), function, schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -404,10 +423,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
         if held:
             yield done()
 
-    sorted_pieces = pieces(candidates.filter("NOT hot")).repartition("anchor").sortWithinPartitions("anchor", "context")
+    pieces = cut_from_texts(candidates.filter("NOT hot"), cut, "anchor bigint, context bigint, weight bigint, offset int, bytes binary")
+    sorted_pieces = pieces.repartition("anchor").sortWithinPartitions("anchor", "context")
     repeats = arrow_map(sorted_pieces, search, "anchor bigint, context bigint, windows array<struct<lo:int,hi:int>>")
     if not candidates.filter("hot").isEmpty():
-        repeats = repeats.unionByName(_repeats_one_by_one(pieces(candidates.filter("hot")), length))
+        single = cut_from_texts(candidates.filter("hot"), windows, "anchor bigint, context bigint, weight bigint, number int, window binary")
+        repeats = repeats.unionByName(_repeats_one_by_one(single))
     again = repeats.select(fresh_key_long("anchor").alias("anchor"), "context", "windows")
     places = candidates.withColumn("a", F.explode(F.concat(F.array("a"), F.coalesce("more", F.array().cast("array<int>")))))
     back = places.join(again, ["anchor", "context"]).select("key", F.explode("windows").alias("w"), "a").select("key", (F.col("a") + F.col("w.lo")).alias("lo"), (F.col("a") + F.col("w.hi")).alias("hi"))
@@ -435,25 +456,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, doc_id:
     return arrow_map(final, keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
-def _repeats_one_by_one(pieces: DataFrame, length: int) -> DataFrame:
+def _repeats_one_by_one(windows: DataFrame) -> DataFrame:
     """anchor, context and windows (runs of repeated ones), for anchors of any frequency.
 
     Each window is a row with its digest, and digests are counted by a partial aggregate, so no task holds the contexts
     of an anchor, and a window that is repeated very often is a single row of each task.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                raw = batch.column("bytes").to_pylist()
-                which = np.repeat(np.arange(len(raw)), [len(r) - length + 1 for r in raw])
-                numbers = [j for r in raw for j in range(len(r) - length + 1)]
-                digests = [hashlib.md5(r[j : j + length]).digest() for r in raw for j in range(len(r) - length + 1)]
-                same = [batch.column(c).take(pa.array(which)) for c in ("anchor", "context", "weight")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "weight", "number", "window"])
-
-    windows = arrow_map(pieces.select("anchor", "context", "weight", "bytes"), run, "anchor bigint, context bigint, weight bigint, number int, window binary")
     twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select(F.concat("window", F.lit(b"")).alias("window"))
     found = windows.join(twice, "window", "left_semi").groupBy("anchor", "context").agg(F.sort_array(F.collect_set("number")).alias("at"))
     found = found.withColumn("lo", F.array_except("at", F.transform("at", lambda x: x + 1))).withColumn("hi", F.array_except("at", F.transform("at", lambda x: x - 1)))
