@@ -108,6 +108,27 @@ fp("fp_temporal_more", "Encounter", "SELECT CAST(o_orderkey AS VARCHAR) AS id, s
    d="period.start.toDate()", is_date="period.start.toString().convertsToDate()", is_stamp="(period.start.toString() & 'T10:30:00Z').convertsToDateTime()", is_time="('10:' & period.start.toString().substring(5, 2)).convertsToTime()", no_date="status.convertsToDate()")
 
 
+fp("fp_types", "Medication", f"""SELECT {_PART}, TRUE AS whole, TRUE AS text, FALSE AS other, p_name AS as_text, CAST(p_size AS BIGINT) AS as_whole, p_name AS only_text, CAST(NULL AS VARCHAR) AS wrong, CAST(p_partkey AS VARCHAR) AS ident, p_name AS own,
+   substr(p_name, 2, 1) AS second, p_brand || '|' || p_type AS codes, round(p_size + p_retailprice, 2) AS total, CASE WHEN p_size = 3 THEN '3' ELSE least(p_size, 3) || '|' || greatest(p_size, 3) END AS ordered, TRUE AS past, TRUE AS today_past, TRUE AS of_day FROM part""",
+   whole="size is Integer", text="name is String", other="name is Integer", as_text="(name as String)", as_whole="size.as(Integer)", only_text="name.ofType(String)", wrong="name as Integer", ident="%resource.id", own="%context.name",
+   second="name.toChars().where($index = 1)", codes="code.repeat(coding).code", total="(size + price).round(2)", ordered="(size | 3).sort()", past="now() > @2020-01-01", today_past="today() >= @2020-01-01", of_day="timeOfDay() >= @T00:00:00")
+fp("fp_moments", "Encounter", "SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') || 'T10:30:00Z' AS stamp, strftime(o_orderdate, '10:%m') AS clock FROM orders",
+   stamp="(period.start.toString() & 'T10:30:00Z').toDateTime()", clock="('10:' & period.start.toString().substring(5, 2)).toTime()")
+fp("fp_repeat", "Observation", f"SELECT {_OBS}, CAST(3 AS BIGINT) AS n, 'price|discount|tax' AS codes, TRUE AS measured, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem",
+   n="repeat(component).count()", codes="component.repeat(code).coding.code", measured="value is Quantity", day="(effective as dateTime)")
+
+
+@query("fp_quantities", "SELECT event_id, concat(json_extract_string(props, '$.k'), ' ', chr(39), '1', chr(39)) AS plain, CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS heavy, TRUE AS alike, FALSE AS unlike, TRUE AS converts, 'Integer' AS kind, CAST(2 AS BIGINT) AS digits FROM events")
+def fp_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions that the interpreter alone has: quantities in other units, the type of an item, its precision."""
+    mass = r"(k.toString() & ' \'mg\'').toQuantity()"
+    items = ["k.toQuantity().toString()", f"({mass} > 0.05 'g').toString()", f"{mass}.comparable(1 'g').toString()", f"{mass}.comparable(1 'm').toString()", "k.convertsToQuantity().toString()", "k.type().name", "(k + 0.25).precision().toString()"]
+    combined = items[0] + "".join(f".combine({i})" for i in items[1:])
+    df = evaluate_column(read(spark, sf, "events").select("event_id", "props"), "props", combined, "r")
+    flag = lambda i: F.get("r", i) == "true"
+    return df.select("event_id", F.get("r", 0).alias("plain"), flag(1).alias("heavy"), flag(2).alias("alike"), flag(3).alias("unlike"), flag(4).alias("converts"), F.get("r", 5).alias("kind"), F.get("r", 6).cast("long").alias("digits"))
+
+
 @query("fp_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS high FROM events")
 def fp_json_props(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "events").select("event_id", F.from_json("props", "k bigint").alias("resource"))
@@ -377,6 +398,11 @@ def s_sort_param(spark: SparkSession, sf: str) -> DataFrame:
     return Search(Store.from_tables(spark, sf, "Encounter")).page("Encounter?_sort=-total&_count=25").select("id", F.col("sort_0").alias("key"))
 
 
+@query("s_offset", "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR) LIMIT 25 OFFSET 50")
+def s_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return Search(Store.from_tables(spark, sf, "Encounter")).page("Encounter?_sort=-total&_count=25&_offset=50").select("id")
+
+
 @query("s_keyset_page", "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_totalprice < 100000 ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20")
 def s_keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     import base64
@@ -456,6 +482,40 @@ def h_conditional(spark: SparkSession, sf: str) -> DataFrame:
     return history.conditional(rows, wanted).select("request", "action")
 
 
+@query("h_system", f"{_VERSIONS} SELECT id, version_id, action FROM d WHERE last_updated <= TIMESTAMP '2024-01-10' UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1, NULL FROM customer")
+def h_system(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["resource_type", "id", "version_id", "last_updated"]
+    events = MAKERS["AuditEvent"](spark, sf).select(*columns, F.col("resource.action").alias("action"))
+    patients = MAKERS["Patient"](spark, sf).select(*columns, F.lit(None).cast("string").alias("action"))
+    return history.history(events.unionByName(patients), at="2024-01-10").select("id", "version_id", "action")
+
+
+@query("h_vread", f"{_VERSIONS} SELECT id, version_id, action, event FROM d WHERE id = '7' AND version_id = 3")
+def h_vread(spark: SparkSession, sf: str) -> DataFrame:
+    return history.read(MAKERS["AuditEvent"](spark, sf), "AuditEvent", "7", 3).select("id", "version_id", "resource.action", "resource.event")
+
+
+@query("h_hard_delete", f"{_VERSIONS} SELECT id, version_id FROM d WHERE version_id > 1 AND id NOT IN (SELECT id FROM d WHERE version_id = 1 AND action = 'error')")
+def h_hard_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """All versions of some resources are gone, and of the others the first."""
+    versions = MAKERS["AuditEvent"](spark, sf)
+    first = versions.filter("version_id = 1")
+    left = history.hard_delete(versions, first.filter("resource.action = 'error'").select("resource_type", "id"))
+    return history.hard_delete(left, first.select("resource_type", "id", "version_id")).select("id", "version_id")
+
+
+@query("h_batch_order", "WITH e AS (SELECT conv_id AS bundle, turn AS position, CASE role WHEN 'user' THEN 'PUT' WHEN 'assistant' THEN 'GET' ELSE 'DELETE' END AS method FROM conversations) SELECT bundle, position, method, CAST(row_number() OVER (PARTITION BY bundle ORDER BY CASE method WHEN 'DELETE' THEN 0 WHEN 'PUT' THEN 2 ELSE 3 END, position) AS INTEGER) AS step FROM e")
+def h_batch_order(spark: SparkSession, sf: str) -> DataFrame:
+    method = F.when(F.col("role") == "user", "PUT").when(F.col("role") == "assistant", "GET").otherwise("DELETE")
+    return history.order_entries(read(spark, sf, "conversations").select(F.col("conv_id").alias("bundle"), F.col("turn").alias("position"), method.alias("method")))
+
+
+@query("h_rewrite", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN c_acctbal >= 0 THEN 'Patient/new-' ELSE 'Patient/' END || o_custkey AS reference FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def h_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    names = MAKERS["Patient"](spark, sf).filter("resource.active").select(F.concat(F.lit("Patient/"), "id").alias("full_url"), F.concat(F.lit("Patient/new-"), "id").alias("assigned"))
+    return history.rewrite_references(MAKERS["Encounter"](spark, sf).select("id", F.col("resource.subject.reference").alias("reference")), names)
+
+
 @query("r_type_stats", f"{_VERSIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version_id DESC) AS r FROM d) SELECT 'AuditEvent' AS resource_type, count(*) AS versions, count(DISTINCT id) AS ids, count(*) FILTER (WHERE r = 1 AND NOT deleted) AS current, count(*) FILTER (WHERE deleted) AS deletions, max(last_updated) AS latest FROM n")
 def r_type_stats(spark: SparkSession, sf: str) -> DataFrame:
     return reports.type_stats(MAKERS["AuditEvent"](spark, sf))
