@@ -722,11 +722,11 @@ def st_file_stream_index(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     from sparkclin.operators.hierarchy import _shared
-    from sparkclin.streaming.index_stream import maintain, read_index, read_stream
+    from sparkclin.streaming.index_stream import ROWS, maintain, read_index, read_stream
 
     folder = f"{_shared(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = MAKERS["Patient"](spark, sf)
-    source.write.parquet(f"{folder}/in")
+    source.write.option("maxRecordsPerFile", ROWS).parquet(f"{folder}/in")
     stream = read_stream(spark, f"{folder}/in", source.schema)
     maintain(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return read_index(spark, f"{folder}/out", "token").filter("parameter_name = 'segment'").select("id", "code")

@@ -19,6 +19,8 @@ from sparkclin.operators import indexing
 from sparkclin.plans.catalog import Catalog
 
 KEYS = ["resource_type", "id", "version_id"]
+#: Resources that a task of a micro-batch sorts and shreds at a time, about; those of a file, where the caller writes them.
+ROWS = 100_000
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -58,13 +60,22 @@ def read_index(spark: SparkSession, out: str, kind: str) -> DataFrame | None:
     return _read(spark, f"{out}/index/{kind}", committed(spark, out))
 
 
+def _deal(df: DataFrame) -> DataFrame:
+    """``df`` dealt out by its keys to tasks of about ROWS rows.
+
+    Dropping duplicates needs no exchange after that. With its own, each task that reads would sort all it has read first.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS)), *KEYS)
+
+
 def write_batch(df: DataFrame, out: str, batch: str, catalog: Catalog) -> None:
     """Writes the versions of ``df`` that no committed batch holds, and their index rows, and commits them."""
     spark = df.sparkSession
     done = committed(spark, out)
     if batch in done:
         return
-    rows = df.dropDuplicates(KEYS).persist()
+    rows = _deal(df).dropDuplicates(KEYS).persist()
     kinds = [r.resource_type for r in rows.select("resource_type").distinct().collect()]
     # versions lie in a folder for each type, so only the keys of the batch's types are read
     schema = T.StructType([*(f for f in df.schema.fields if f.name in KEYS), T.StructField("batch", T.StringType())])

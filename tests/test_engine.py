@@ -223,6 +223,24 @@ def test_stream_survives_a_failure_between_writes(spark, sf, tmp_path, monkeypat
     assert index_stream.read_versions(spark, out).count() == 30 and index_stream.read_index(spark, out, "reference").count() == 25
 
 
+def test_stream_deals_rows_out_before_it_sorts(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from sparkclin.streaming import index_stream
+
+    Store.from_tables(spark, sf, "Location").resources("Location").repartition(2).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(index_stream, "ROWS", 5, raising=False)
+    kept, persist = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: (kept.append((plan_of(self), self.rdd.getNumPartitions())), persist(self, *a))[1])
+    out = str(tmp_path / "out")
+    index_stream.write_batch(rows.unionByName(rows), out, "q-0", Catalog.default())
+    plan, n = kept[0]
+    below = plan[plan.rindex("Exchange hashpartitioning") :]  # what a task does with the rows it reads
+    assert "Sort" not in below and "Aggregate" not in below and n == 12  # 60 rows
+    assert index_stream.read_versions(spark, out).count() == 30
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
