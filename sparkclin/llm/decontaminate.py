@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's words are counted over all documents.
-2. Passages (windows of words) become TF-IDF vectors; a randomised SVD, whose products with the passage matrix are
-   computed on the executors, gives a latent space. It is fitted on the passages of a bounded sample of documents and
-   on all benchmark items; every passage of every document is then searched in it.
+2. Passages (windows of words) become TF-IDF vectors; a randomised SVD, whose product with the passage matrix is
+   computed on the executors, gives a latent space. It is fitted on the passages of all documents and on all benchmark
+   items; every passage of every document is then searched in it.
 3. Passages whose latent product with an item is a high enough share of the item's squared norm are candidates. That is
    the squared cosine of the item with the passage's part in the item's words: words of the host that are not the
    item's have no say, nor has the number of documents. Passages for an item are long enough for any stretch that step
@@ -20,7 +20,7 @@ size and a fixed number of them is broadcast for a pass over the documents, so w
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -31,14 +31,18 @@ from pyspark.sql import functions as F
 
 from sparkclin.llm.common import arrow_map, drop_written, written
 
-#: Passages that the SVD is fitted on; those searched depend on the length of the item.
-WINDOW, STRIDE = 40, 20
+#: Words of half a passage that the SVD is fitted on; passages start at every half. Those searched depend on the length of the item.
+STRIDE = 20
 #: Words whose vectors are summed first, and words that are searched at a time.
 GRAIN, PIECE = 4, 8192
 #: Items that share a latent space, blocks that are searched in one pass.
 BLOCK, BLOCKS = 256, 8
-#: Tasks that the sample for the SVD is dealt to; each returns a matrix to the driver.
-PARTS = 2
+#: Words whose products for the SVD are taken at a time.
+SPAN = 16_000
+#: Rows of a group that are added in step with those of all other groups; the rest are by group.
+ROUNDS = 16
+#: Rows of a block's sums for the SVD that are merged at a time, and tasks that merge them.
+SLICE, PARTS = 128, 32
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(128)).lower() + bytes(range(128, 256))
 LEAK = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
 
@@ -140,15 +144,6 @@ def document_frequencies(docs: DataFrame, place: dict[bytes, int], text: str = "
     return out[:-1], int(out[-1])
 
 
-def _windows(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the windows of a document, and their squared norms over words of the vocabulary."""
-    n = len(ids)
-    starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-    ends = np.minimum(starts + WINDOW, n)
-    whole = np.r_[0, np.cumsum(idf[ids] ** 2)]
-    return starts, ends, whole[ends] - whole[starts]
-
-
 def stretch_grid(n: int, rule: Rule) -> tuple[int, int]:
     """Length of the stretches that are compared with an item of ``n`` words, and the distance of their starts."""
     return max(3, int(n * rule.stretch)), max(1, n // 4)
@@ -166,91 +161,169 @@ def _lookup(words: list[bytes], place: dict[bytes, int], other: int) -> np.ndarr
     return np.fromiter(map(place.get, words, repeat(other)), np.int32, len(words))
 
 
-def randomised_svd(sample: DataFrame, place: dict[bytes, int], idf: np.ndarray, local: np.ndarray, items: list[list[int]], rank: int, seed: int = 11, text: str = "text", weight: float = 10.0) -> np.ndarray:
-    """The leading right singular vectors (words of the block x rank) of the TF-IDF passages of ``sample`` and of the items.
-
-    Two distributed products A'(A X): of a random X, and of the orthonormal basis of its result. Each task returns one
-    matrix of that shape; the sample is dealt to PARTS tasks at most. Items count ``weight`` times a passage.
+def _pieces(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in groups of some SPAN words; long ones in pieces, each with both halves of its passages."""
+    group, words = [], 0
+    for ids in texts:
+        passages = max(1, -(-len(ids) // STRIDE) - 1)
+        for lo in range(0, passages, SPAN // STRIDE) if len(ids) else ():
+            piece = ids[lo * STRIDE : (min(lo + SPAN // STRIDE, passages) + 1) * STRIDE]
+            group.append(piece)
+            words += len(piece)
+            if words >= SPAN:
+                yield group
+                group, words = [], 0
+    if group:
+        yield group
+
+
+def _summed(x: np.ndarray, rows: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of x[rows] over groups that start at ``new``, and which group each is of: as reduceat, but by whole rows."""
+    sizes = np.diff(np.r_[new, len(rows)])
+    which = np.argsort(-sizes, kind="stable")
+    first, sizes = new[which], sizes[which]
+    more = [int(n) for n in np.searchsorted(-sizes, -np.arange(1, ROUNDS + 1))]  # groups of more than 1, 2, ... rows
+    out = np.take(x, rows[first], axis=0)
+    for k, n in enumerate(more[:-1], 1):
+        if not n:
+            break
+        out[:n] += np.take(x, rows[first[:n] + k], axis=0)
+    for k in range(more[-1]):
+        out[k] += np.take(x, rows[first[k] + ROUNDS : first[k] + sizes[k]], axis=0).sum(0)
+    return out, which
+
+
+def add_products(out: list[np.ndarray], texts: Iterable[np.ndarray], idf: np.ndarray, local: list[np.ndarray], factors: list[np.ndarray]) -> None:
+    """Adds A'(A X) to each block's matrix, A being the TF-IDF passages of ``texts`` in the block's words; X and the sums lack the idf.
+
+    A passage is two halves of STRIDE words, so words are summed by half, before and after the product.
     """
-    v = int(local.max())  # the row of all other words
-    rank = min(rank, v)
-    other = len(idf) - 1
-
-    session = sample.sparkSession.sparkContext
-    shared = session.broadcast((place, idf, local))
-
-    def product(texts: list[np.ndarray], x: np.ndarray, scale: float) -> np.ndarray:
-        _, idf, local = shared.value
-        out = np.zeros_like(x)
-        for ids in texts:
-            if not len(ids):
+    for group in _pieces(texts):
+        ids, sizes = np.concatenate(group), np.array([len(p) for p in group])
+        halves = -(-sizes // STRIDE)
+        base, m = np.cumsum(halves) - halves, int(halves.sum())
+        half = np.repeat(base, sizes) + (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STRIDE
+        joined = np.ones(m, bool)  # with the half that follows
+        joined[base + halves - 1] = False
+        norm = np.bincount(half, idf[ids] ** 2, m)
+        norm[:-1] += norm[1:] * joined[:-1]
+        starts = joined.copy()
+        starts[base[halves == 1]] = True
+        factor = np.where(starts & (norm > 0), 1 / np.maximum(norm, 1e-30), 0.0).astype(np.float32)[:, None]
+        joined = joined[:-1, None].astype(np.float32)
+        for total, place, x in zip(out, local, factors):
+            rows = place[ids]
+            inside = np.flatnonzero(rows < len(x))
+            if not len(inside):
                 continue
-            starts, ends, norm = _windows(ids, idf)
-            rows = local[ids]
-            for s, e, q in zip(starts, ends, norm):
-                inside = rows[s:e] < v
-                if inside.any():
-                    part = rows[s:e][inside]
-                    w = (scale * idf[ids[s:e][inside]] / np.sqrt(q))[:, None]
-                    np.add.at(out, part, w * (w * x[part]).sum(0))
-        return out
-
-    def passed(x: np.ndarray) -> np.ndarray:
-        factor = session.broadcast(x)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            place, x = shared.value[0], factor.value
-            total = np.zeros_like(x)
-            for batch in batches:
-                total += product([_lookup(words_of(t.as_py()), place, other) for t in batch.column(0)], x, 1.0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["z"])
-
-        out = product([np.array(i) for i in items], x, weight)
-        for r in arrow_map(sample.select(text), run, "z binary").toLocalIterator():  # one matrix at a time
-            out += np.frombuffer(r["z"], np.float32).reshape(x.shape)
-        factor.unpersist()
-        return out
-
-    start = np.random.default_rng(seed).normal(size=(v, min(v, rank + 8)))
-    q, _ = np.linalg.qr(passed(start))
-    m = q.T @ passed(q)
-    values, vectors = np.linalg.eigh((m + m.T) / 2)
-    return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
-
-
-def build_indexes(docs: DataFrame, benchmark: DataFrame, extra_rank: int = 32, sample_docs: int = 300, block: int = BLOCK, blocks: int = BLOCKS, text: str = "text") -> Iterator[Index]:
-    """Indexes of up to ``blocks`` blocks of up to ``block`` items. Items without words are passed over.
-
-    ``sample_docs``: how many documents, by a hash of their text, the SVD is fitted on about (documented bound).
+            rows, h = rows[inside], half[inside]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            part, (sums, which) = np.zeros((m, x.shape[1]), np.float32), _summed(x, rows, new)
+            part[h[new[which]]] = sums
+            part[:-1] += part[1:] * joined
+            part *= factor
+            part[1:] += part[:-1] * joined
+            order = np.argsort(rows, kind="stable")
+            rows, h = rows[order], h[order]
+            new = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            sums, which = _summed(part, h, new)
+            total[rows[new[which]]] += sums
+
+
+def randomised_svd(docs: DataFrame, n: int, place: dict[bytes, int], idf: np.ndarray, local: list[np.ndarray], items: list[list[list[int]]], extra: int, seed: int = 11, text: str = "text", weight: float = 10.0, worth: int = 300) -> list[np.ndarray]:
+    """For each block the leading right singular vectors (words of the block x rank) of the TF-IDF passages of all ``docs`` and of its items.
+
+    One distributed product A'(A X) over every passage of all ``n`` documents, of a random X, for all blocks at once; the
+    passages' ``extra`` leading directions are those of the approximation of A'A that is exact on X (Nystrom's). The space
+    is then sought among these and the items, whose product is exact. Items count ``weight`` times a passage; where there
+    are more documents than ``worth``, their passages count as much all together as those of that many, so that the items
+    keep their weight in a corpus of any size.
     """
+    session, other = docs.sparkSession.sparkContext, len(idf) - 1
+    random, factors, own_idf = np.random.default_rng(seed), [], []
+    for where in local:
+        v = int(where.max())  # the row of all other words
+        known = np.flatnonzero(where < v)
+        own_idf.append(idf[known[np.argsort(where[known])]][:, None])
+        factors.append(np.linalg.qr(random.normal(size=(v, min(v, extra + 8))))[0])
+    scaled = [(i * x).astype(np.float32) for i, x in zip(own_idf, factors)]
+    shared = session.broadcast((place, idf, local, scaled))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, idf, local, factors = shared.value
+        out = [np.zeros(x.shape) for x in factors]
+        for batch in batches:
+            add_products(out, (_lookup(words_of(t.as_py()), place, other) for t in batch.column(0)), idf, local, factors)
+        for k, total in enumerate(out):
+            for lo in range(0, len(total), SLICE):
+                if (rows := total[lo : lo + SLICE]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lo], pa.int32()), pa.array([rows.astype(np.float32).tobytes()], pa.binary())], ["block", "lo", "z"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, lo, z in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = np.frombuffer(z, np.float32)
+                sums[k, lo] = sums[k, lo] + rows if (k, lo) in sums else rows.astype(float)
+        for (k, lo), rows in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lo], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["block", "lo", "z"])
+
+    # merged by slices, so neither a task nor the driver takes the matrices of all tasks
+    schema, sums = "block int, lo int, z binary", [np.zeros(x.shape) for x in factors]
+    merged = written(arrow_map(arrow_map(docs.select(text), run, schema).repartition(PARTS, "block", "lo"), merge, schema))
+    for r in merged.toLocalIterator():
+        rows = np.frombuffer(r["z"]).reshape(-1, factors[r["block"]].shape[1])
+        sums[r["block"]][r["lo"] : r["lo"] + len(rows)] += rows
+    drop_written(merged)
+    shared.unpersist()
+
+    out = []
+    for where, own, x, i, y in zip(local, items, factors, own_idf, sums):
+        y *= i * min(1.0, worth / max(1, n))
+        values, vectors = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
+        good = values > 1e-6 * values[-1]
+        leading = y @ (vectors[:, good] / np.sqrt(values[good]))  # times its transpose it is A'A
+        whole = np.zeros((len(y), len(own)))
+        for k, item in enumerate(own):
+            np.add.at(whole[:, k], where[item], idf[item])
+        q = np.linalg.qr(np.hstack([whole, leading]))[0]
+        mine = np.zeros(q.shape)
+        add_products([mine], (np.array(item) for item in own), idf, [where], [(i * q).astype(np.float32)])
+        m, part = weight**2 * q.T @ (i * mine), q.T @ leading
+        values, vectors = np.linalg.eigh((m + m.T) / 2 + part @ part.T)
+        out.append((q @ vectors[:, ::-1][:, : len(own) + extra]).astype(np.float32))
+    return out
+
+
+def build_indexes(docs: DataFrame, benchmark: DataFrame, extra_rank: int = 32, block: int = BLOCK, blocks: int = BLOCKS, text: str = "text") -> Iterator[Index]:
+    """Indexes of up to ``blocks`` blocks of up to ``block`` items. Items without words are passed over."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
     ids, items = [], []
     for r in rows.toLocalIterator():  # of the benchmark, a pass's items at a time
         if words := words_of(r["text"]):
             ids.append(r["item_id"]), items.append(words)
         if len(items) == block * blocks:
-            yield _index(docs, ids, items, extra_rank, sample_docs, block, text)
+            yield _index(docs, ids, items, extra_rank, block, text)
             ids, items = [], []
     if items:
-        yield _index(docs, ids, items, extra_rank, sample_docs, block, text)
+        yield _index(docs, ids, items, extra_rank, block, text)
 
 
-def _index(docs: DataFrame, ids: list[int], items: list[list[bytes]], extra_rank: int, sample_docs: int, size: int, text: str) -> Index:
+def _index(docs: DataFrame, ids: list[int], items: list[list[bytes]], extra_rank: int, size: int, text: str) -> Index:
     place = {w: k for k, w in enumerate(sorted({w for item in items for w in item}))}
     df, n = document_frequencies(docs, place, text)
     idf = np.r_[np.maximum(np.log((n + 2) / (df + 1)), 0.01), 0.0]
-    part = (F.abs(F.xxhash64(text)) % 1_000_000) < int(1_000_000 * min(1.0, sample_docs / max(1, n)))
-    sample = written(docs.filter(part).select(text).repartition(PARTS))
-    index = Index(place, idf, [])
+    index, locals_ = Index(place, idf, []), []
     for lo in range(0, len(items), size):
         coded = [[place[w] for w in item] for item in items[lo : lo + size]]
         used = sorted({w for item in coded for w in item})
         local = np.full(len(idf), len(used), np.int32)
         local[used] = np.arange(len(used))
-        made = Block(ids[lo : lo + size], coded)
-        made.finish(randomised_svd(sample, place, idf, local, coded, len(coded) + extra_rank, text=text), local, idf)
-        index.blocks.append(made)
-    drop_written(sample)
+        index.blocks.append(Block(ids[lo : lo + size], coded))
+        locals_.append(local)
+    spaces = randomised_svd(docs, n, place, idf, locals_, [b.items for b in index.blocks], extra_rank, text=text)
+    for made, local, vectors in zip(index.blocks, locals_, spaces):
+        made.finish(vectors, local, idf)
     return index
 
 
@@ -305,9 +378,9 @@ class Searcher:
             near = rows[lo : lo + piece + longest]
             padded = np.full(-(-len(near) // GRAIN) * GRAIN, len(table) - 1, rows.dtype)
             padded[: len(near)] = near
-            grains = table[padded[0::GRAIN]]
+            grains = np.take(table, padded[0::GRAIN], axis=0)
             for k in range(1, GRAIN):
-                grains += table[padded[k::GRAIN]]
+                grains += np.take(table, padded[k::GRAIN], axis=0)
             for c, items, columns in strides:
                 first = -(-lo // c) * c
                 count, k = -(-(min(lo + piece, n) - first) // c), c // GRAIN

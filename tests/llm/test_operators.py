@@ -554,6 +554,42 @@ def test_search_equals_brute_force(spark, corpus):
         assert {f["item_id"]: (f["lcs"], f["answer"]) for f in search(r.text)} == want
 
 
+def test_latent_space_is_of_all_documents(spark):
+    # words that often meet in one document of many, each a direction of its own that a part of the documents would lack
+    items = [(k, " ".join([f"a{k}", f"b{k}", *(f"w{k}x{j}" for j in range(8))])) for k in range(30)]
+    rows = [(k, f"a{k} b{k} " * 200) for k in range(20)] + [(100 + k, f"host{k} " * 30) for k in range(880)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    index = next(decontaminate.build_indexes(frame(spark, rows), bench))
+    block = index.blocks[0]
+    vectors = block.basis[block.local[:-1]] / index.idf[:-1, None]
+    for k in range(20):
+        at = [index.place[b"%s%d" % (x, k)] for x in (b"a", b"b")]
+        direction = index.idf[at] / np.linalg.norm(index.idf[at])
+        assert np.linalg.norm(direction @ vectors[at]) > 0.95
+    for item in block.items:  # and no item is lost
+        whole = index.idf[item] / np.linalg.norm(index.idf[item])
+        assert np.linalg.norm(whole @ vectors[item]) > 0.99
+
+
+@pytest.mark.parametrize("span", [60, 16_000])
+def test_products_with_passages(monkeypatch, span):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(decontaminate, "SPAN", span)
+    texts = [rng.integers(0, 31, n) for n in (0, 1, 19, 20, 21, 40, 41, 60, 61, 500, 2000)] + [np.full(100, 3), np.full(50, 30)]
+    idf, local = np.r_[rng.random(30) + 0.1, 0.0], [np.minimum(np.arange(31), 30), np.where(np.arange(31) < 12, np.arange(31), 12)]
+    factors = [rng.normal(size=(30, 5)).astype(np.float32), rng.normal(size=(12, 3)).astype(np.float32)]
+    got, want = [np.zeros(x.shape) for x in factors], [np.zeros(x.shape) for x in factors]
+    decontaminate.add_products(got, texts, idf, local, factors)
+    for ids in texts:
+        for lo in range(0, max(1, len(ids) - 20), 20):
+            passage = ids[lo : lo + 40]
+            norm = (idf[passage] ** 2).sum()
+            for w, where, x in zip(want, local, factors):
+                known = where[passage][where[passage] < len(x)]
+                np.add.at(w, known, x[known].sum(0) / max(norm, 1e-30))
+    assert all(np.allclose(g, w, rtol=1e-4, atol=1e-4) for g, w in zip(got, want))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.lists(st.integers(0, 4), max_size=20))
 def test_lcs(a, b):
