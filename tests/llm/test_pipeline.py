@@ -100,3 +100,14 @@ def test_stages_with_odd_rows(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert stages["quality classifier"](spark, docs, sf).columns == corpus_pipeline.COLUMNS
+
+
+def test_decontamination_is_fitted_on_all_documents(spark, sf, monkeypatch):
+    from sparkclin.llm import decontaminate
+
+    rows = [(k, f"word{k} of a text that holds nothing {k}", "en", "s", 30) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    fitted, svd = [], decontaminate.randomised_svd
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda *a, **k: (fitted.append(a[0].count()), svd(*a, **k))[1])
+    assert corpus_pipeline.decontamination(spark, docs, sf).count() == len(rows)
+    assert fitted == [len(rows)]
