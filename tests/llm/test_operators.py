@@ -355,6 +355,42 @@ def test_training_without_labels(spark, odd):
     assert quality_fm.classify(odd, one).count() == len(ODD)
 
 
+def test_training_is_on_all_labelled_rows(spark):
+    # rows of label 0 that come last by the hash of their id hold words of label 1 and one of their own
+    ids = spark.range(9_000).filter(~quality_fm.held_out(F.col("id"))).orderBy(F.xxhash64("id"))
+    bad = [r.id for r in ids.collect()][:4_000]
+    rows = [(i, "junk of the bad kind" if k < 3_000 else "fine good prose strange", 0) for k, i in enumerate(bad)] + [(10_000 + k, "fine good prose indeed", 1) for k in range(4_000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(3)
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "quality")
+    blocks = quality_fm.labelled_blocks(docs, labels).collect()
+    taught = table.filter(~quality_fm.held_out(F.col("doc_id"))).count()
+    assert sum(r.n for r in blocks) == taught and max(r.n for r in blocks) <= quality_fm.ROWS
+    model = quality_fm.train(docs, labels)
+    ask = spark.createDataFrame([(1, "fine good prose strange"), (2, "fine good prose indeed"), (3, "junk of the bad kind")], "doc_id bigint, text string")
+    scores = {r.doc_id: r.score for r in quality_fm.score(ask, model).collect()}
+    assert scores[1] < 0.1 and scores[2] > 0.9 and scores[3] < 0.1
+    again = quality_fm.train(docs.repartition(7), labels.repartition(2))  # no plan changes the model
+    assert again.bias == model.bias and (again.w == model.w).all() and (again.v == model.v).all()
+
+
+def test_sums_of_a_block():
+    rng = np.random.default_rng(5)
+    make, m = quality_fm.Featurizer(), quality_fm.FactorisationMachine(bias=0.2, w=rng.normal(size=quality_fm.FEATURES) / 9, v=rng.normal(size=(quality_fm.FEATURES, 3)) / 9)
+    rows = [make(t) for t in ("", "one", "one two three two", "", "a longer text\nof several lines !! | one two", "one")]
+    labels, n = np.array([0, 1, 1, 1, 0, 0.0]), len(quality_fm.EDGES)
+    table = np.hstack([m.v, m.w[:, None], (m.v**2).sum(1)[:, None]])
+    ids = [i.astype(np.uint16) for i, _ in rows]
+    loss, by_bias, out = quality_fm.block_sums(np.concatenate([i[:-n] for i in ids]), np.array([len(i) - n for i in ids], np.int32), np.stack([i[-n:] for i in ids]), labels, m.bias, table)
+    want_loss, want_bias, want = 0.0, 0.0, np.zeros(table.shape)
+    for (i, x), y in zip(rows, labels):
+        z = m.margin(i, x)
+        g = 1 / (1 + np.exp(-z)) - y
+        want_loss, want_bias = want_loss + np.logaddexp(0, z) - y * z, want_bias + g
+        for k, v in zip(i, x):
+            want[k] += np.r_[g * v * (m.v[i] * x[:, None]).sum(0), g * v, g * v * v]
+    assert np.isclose(loss, want_loss) and np.isclose(by_bias, want_bias) and np.allclose(out, want, atol=1e-6)
+
+
 # 9
 
 
